@@ -1,0 +1,66 @@
+"""A blocked Bloom filter over 64-bit hashes, built by Spark and small enough to send to every worker.
+
+Its size is bounded (MOST_BLOCKS blocks of 64 KiB, 8 MiB in all). More keys than that make it let more rows through,
+which costs time only: whoever uses it joins exactly afterwards.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keystrata.llm.common import partitions
+
+BLOCK_BITS = 1 << 19
+MOST_BLOCKS = 128
+PROBES = 5
+
+
+def _positions(hashes: np.ndarray) -> np.ndarray:
+    """Bit positions inside a block, PROBES for each hash, from bits that do not choose the block."""
+    step = (hashes >> np.uint64(20)) | np.uint64(1)
+    turns = np.arange(PROBES, dtype=np.uint64)[:, None]
+    return ((hashes[None, :] + turns * step[None, :]) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+
+
+class Bloom:
+    def __init__(self, blocks: dict[int, bytes], count: int):
+        self.count = count
+        self.bits = np.zeros((count, BLOCK_BITS // 8), dtype=np.uint8)
+        for k, data in blocks.items():
+            self.bits[k] = np.frombuffer(data, dtype=np.uint8)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        """For xxhash64 values as int64: False only where the key surely is not there."""
+        u = hashes.view(np.uint64)
+        block = ((u >> np.uint64(48)) % np.uint64(self.count)).astype(np.int64)
+        at = _positions(u)
+        return ((self.bits[block[None, :], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def build(df: DataFrame, hash_col: str) -> Bloom:
+    """The filter of df's hash_col (an xxhash64 value). df should be cheap to read twice."""
+    n = df.count()
+    count = int(min(MOST_BLOCKS, max(1, -(-n * 12 // BLOCK_BITS))))
+    size = BLOCK_BITS
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(ids):
+                bits = blocks.setdefault(int(k), np.zeros(size // 8, dtype=np.uint8))
+                at = _positions(keys[ids == k].view(np.uint64)).ravel()
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(blocks), pa.int32()), pa.array([b.tobytes() for b in blocks.values()], pa.binary())], names=["block", "bits"]
+        )
+
+    block = F.pmod(F.shiftrightunsigned(F.col(hash_col), 48), F.lit(count)).cast("int")
+    dealt = df.select(F.col(hash_col).alias("h"), block.alias("block")).repartition(min(count, partitions(df.sparkSession)), "block")
+    rows = dealt.mapInArrow(fill, "block int, bits binary").collect()
+    return Bloom({r.block: bytes(r.bits) for r in rows}, count)
