@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, exact_dedup, near_dedup, packing, sharding
+from keystrata.llm import decontaminate, exact_dedup, near_dedup, ngram_lm, packing, sharding
 from keystrata.llm.common import cut, table
 from keystrata.llm.tokens import vocabulary
 
@@ -21,6 +21,17 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+#: Words of a context plus one. A third word would make the counts outgrow the disk that a run may use (README).
+LM_ORDER = 2
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs.where(~ngram_lm.held_out("doc_id")).select("text"), order=LM_ORDER)
+    scored = ngram_lm.score_documents(docs, model)
+    return scored.withColumn("held_out", ngram_lm.held_out("doc_id")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=Fraction(85, 100))
 
@@ -69,6 +80,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
