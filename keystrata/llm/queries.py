@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, exact_dedup, near_dedup, ngram_lm, packing, sharding
+from keystrata.llm import decontaminate, exact_dedup, near_dedup, ngram_lm, packing, sharding, toxicity
 from keystrata.llm.common import cut, table
 from keystrata.llm.tokens import vocabulary
 
@@ -69,6 +69,13 @@ FROM t JOIN g ON t.x = g.x
 """
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
+    scored = toxicity.score_documents(docs, machine)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = table(spark, sf_dir, "documents").select(
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
 }
 
