@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Characters at which str.split() splits but the tokenizer's \\s does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -25,7 +25,7 @@ def chunks(text: str) -> list[str]:
 class ChunkTokens:
     """Ids as little-endian unsigned 32-bit bytes. Keeps at most `most` chunks of at most `longest` characters."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -35,24 +35,31 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
+        cache = self.cache
         split = [chunks(t) for t in texts]
         new: set[str] = set()
         for words in split:
-            new.update(set(words).difference(self.cache))
-        fresh: dict[str, bytes] = {}
+            new.update(set(words).difference(cache))
+        passing: list[str] = []  # in the cache for this call only
         if new:
             order = list(new)
-            for word, enc in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-                fresh[word] = np.array(enc.ids, dtype="<u4").tobytes()
-            room = self.most - len(self.cache)
-            if room > 0:
-                short = [w for w in order if len(w) <= self.longest][:room]
-                self.cache.update((w, fresh[w]) for w in short)
-        if not fresh:
-            get = self.cache.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        cache = self.cache
-        return [b"".join([fresh[w] if w in fresh else cache[w] for w in words]) for words in split]
+            room = self.most - len(cache)
+            if room < len(order):
+                order.sort(key=len)  # rather keep the short ones
+                passing = order[max(0, room) :]
+            else:
+                passing = [w for w in order if len(w) > self.longest]
+            for at in range(0, len(order), 20_000):
+                part = order[at : at + 20_000]
+                for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    ids = array("I", enc.ids)
+                    if sys.byteorder == "big":
+                        ids.byteswap()
+                    cache[word] = ids.tobytes()
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        for word in passing:
+            del cache[word]
+        return out
 
 
 _open: dict[str, ChunkTokens] = {}
