@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keystrata.llm import decontaminate, exact_dedup, near_dedup, ngram_lm, packing, sharding, toxicity
+from keystrata.llm import best_fit, decontaminate, exact_dedup, near_dedup, ngram_lm, packing, secrets, sharding, token_counts, toxicity
 from keystrata.llm.common import cut, table
 from keystrata.llm.tokens import vocabulary
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=4096, closing_id=2)
+
+
 #: Words of a context plus one. A third word would make the counts outgrow the disk that a run may use (README).
 LM_ORDER = 2
 
@@ -69,6 +73,18 @@ FROM t JOIN g ON t.x = g.x
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text before and after three edits: words put in front, a stretch in the middle replaced, the end cut off."""
+    import public_tokenizers
+
+    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+    edit = lambda start, end, text: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(text).alias("text"))
+    mid = F.floor(n / 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("edits", F.array(edit(F.lit(0), F.lit(0), "Edited: "), edit(mid, mid + 40, " (cut) "), edit(n - 40, n, "")))
+    return token_counts.count_with_edits(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, edits_col="edits")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic")
@@ -85,14 +101,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_best_fit": op2_best_fit,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {
