@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keystrata.llm.common import partitions
 
@@ -64,3 +65,25 @@ def build(df: DataFrame, hash_col: str) -> Bloom:
     dealt = df.select(F.col(hash_col).alias("h"), block.alias("block")).repartition(min(count, partitions(df.sparkSession)), "block")
     rows = dealt.mapInArrow(fill, "block int, bits binary").collect()
     return Bloom({r.block: bytes(r.bits) for r in rows}, count)
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ids (one column of distinct longs; give a materialised one).
+
+    Only rows that the filter of ids may hold are joined; the texts of all others stay where they are. Null ids stay.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(build(ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("h")), "h"))
+    fields = T.StructType([*docs.schema.fields, T.StructField("_may", T.BooleanType())])
+    hashed = docs.withColumn("_may", F.xxhash64(F.col(id_col).cast("long")))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = fields.fieldNames().index("_may")
+        for b in batches:
+            columns = list(b.columns)
+            columns[at] = pa.array(sent.value.may_hold(columns[at].to_numpy()), pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=fields.fieldNames())
+
+    marked = hashed.mapInArrow(mark, fields)
+    some = marked.where("_may").join(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")), F.col(id_col) == F.col("_id"), "left_anti")
+    return marked.where("not _may").unionByName(some).drop("_may")

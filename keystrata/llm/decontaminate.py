@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import MIX_A, MIX_B, cut, ship
+from keystrata.llm.common import MIX_A, MIX_B, cut, ship, text_slices
 from keystrata.llm.tokens import slices
 
 MOST_WINDOWS = 300_000
@@ -208,3 +208,39 @@ def without_spans(text: str, hits: list[int]) -> str:
 
 def sha256_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+def without_contaminated(docs: DataFrame, bench: DataFrame, n: int = 8, least_items: int = 2, least_run: int | None = None, text_col: str = "text", **names) -> DataFrame:
+    """The rows of docs, all columns, that hold windows of fewer than least_items items and no stretch of least_run hit
+    words (n unless given): one short item alone, which common words may spell, does not condemn a document."""
+    spark = docs.sparkSession
+    ship(spark)
+    rows = cut(windows(bench, n, names.get("item_col", "item_id"), names.get("bench_text_col", "text")), "windows")
+    blocks = max(1, -(-rows.count() // MOST_WINDOWS))
+    keyed = rows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(blocks)))
+    least_run = least_run or n
+    at = docs.columns.index(text_col)
+    if blocks > 1:  # items of several blocks add up, so look at all of them first
+        marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        hits = report_runs(scan(marked.select(F.col("_row").alias("doc_id"), text_col), bench, n, text_col=text_col), least_items, least_run)
+        return marked.join(hits, marked["_row"] == hits["doc_id"], "left_anti").drop("_row")
+    sent = spark.sparkContext.broadcast(Index([(r.item, bytes(r.window)) for r in keyed.collect()]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        for batch in batches:
+            for part, texts in text_slices(batch, at):
+                starts, hit, items = index.scan([words(x) for x in texts])
+                edge = np.flatnonzero(np.diff(np.r_[0, hit.view(np.int8), 0]))
+                longest = np.zeros(len(texts), dtype=np.int64)
+                np.maximum.at(longest, np.searchsorted(starts, edge[::2], side="right") - 1, edge[1::2] - edge[::2])
+                bad = (longest >= least_run) | (np.array([len(x) for x in items]) >= least_items)
+                yield part.filter(pa.array(~bad))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def report_runs(scanned: DataFrame, least_items: int, least_run: int) -> DataFrame:
+    """doc_id of the documents to drop."""
+    longest = F.expr("array_max(transform(sequence(1, size(hits) div 2), i -> hits[2 * i - 1] - hits[2 * i - 2]))")
+    return scanned.where((F.size("items") >= least_items) | (F.when(F.size("hits") > 0, longest).otherwise(0) >= least_run)).select("doc_id")

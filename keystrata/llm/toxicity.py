@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import crc_of, ship
+from keystrata.llm.common import crc_of, ship, text_slices
 
 BUCKETS, FACTORS, PREFIX = 1 << 20, 4, 4
 #: A term is learnt if that many texts of the sample have it. L1, L2 and the rate of the linear weights.
@@ -251,3 +251,17 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_slices(batch, at):
+                yield part.filter(pa.array(sent.value.score(texts) < threshold))
+
+    return docs.mapInArrow(work, docs.schema)
