@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,3 +131,18 @@ def smallest_of_group(df: DataFrame, key: list[str], id_col: str, salts: int) ->
     whole = part.groupBy(*key).agg(F.min("_low").alias("keep_id"), F.sum("_n").alias("group_size"))
     back = part.select(*key, "_salt").join(whole, key)
     return salted.join(back, [*key, "_salt"]).drop("_salt")
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside their executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = 500):
+    """A batch in parts of a few hundred rows: (part, its texts)."""
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        yield part, part.column(column).to_pylist()

@@ -15,7 +15,7 @@ Scoring. P(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) P(w|h'), D for counts of 1,
 each order; below single words stands the uniform distribution over the vocabulary and one unknown word. Sentences are
 whole texts: words, then one end; contexts at the start are filled with a begin mark that is never predicted.
 
-Words are told apart by 64-bit hashes, n-grams by 64-bit hashes of those.
+Words are told apart by 64-bit hashes; n-grams by 64-bit hashes of their context and 48 bits of their word.
 
 Defined results: a null or empty text is just its end; rows that repeat a doc_id count and are scored each; a null
 doc_id counts as the empty id when rows are held out; no training rows give a model in which every token is unknown.
@@ -23,7 +23,6 @@ doc_id counts as the empty id when rows are held out; no training rows give a mo
 
 from __future__ import annotations
 
-import itertools
 import os
 import tempfile
 import uuid
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import MIX_A, ascii_words, crc_of, cut, fresh_path, mix, partitions, ship, word_hashes
+from keystrata.llm.common import MIX_A, ascii_words, crc_of, fresh_path, give_back, mix, partitions, ship, text_slices, word_hashes
 from keystrata.llm.tokens import slices
 
 #: Hashes of the end of a text and of the mark before its start (fixed values; a word's hash may equal them by chance only).
@@ -71,51 +70,63 @@ def scattered(words: np.ndarray) -> np.ndarray:
     return words * MIX_A ^ (words >> np.uint64(29))
 
 
-def grouped(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of columns (sorted by the first, then the others) with the sums of their counts."""
-    if not len(counts):
-        return columns, counts
+def grouped(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of columns (sorted by the first) with the sums of their counts, or how often they occur."""
+    n = len(columns[0])
+    if not n:
+        return columns, np.zeros(0, dtype=np.int64)
     if len(columns) == 1:
         order = np.argsort(columns[0], kind="stable")
-    else:  # sort by a hash of the whole row inside the first column: equal rows meet, whatever the number of columns
-        key = columns[0]
-        whole = columns[-1]
+    else:  # inside the first column sort by a hash of the others: equal rows meet, whatever the number of columns
+        rest = columns[-1]
         for c in columns[1:-1]:
-            whole = mix(c, whole)
-        order = np.lexsort((whole, key))
-    columns, counts = [c[order] for c in columns], counts[order]
-    new = np.zeros(len(counts), dtype=bool)
+            rest = mix(c, rest)
+        order = np.lexsort((rest, columns[0]))
+        del rest
+    columns = [c[order] for c in columns]
+    new = np.zeros(n, dtype=bool)
     new[0] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(counts, first)
+    sums = np.diff(np.r_[first, n]) if counts is None else np.add.reduceat(counts[order], first)
+    return [c[first] for c in columns], sums
+
+
+#: In n-grams a word is told by 48 bits of its hash, which keeps what is shuffled small.
+WORD_BITS = np.uint64((1 << 48) - 1)
 
 
 def packed(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes that hold them all, behind the columns."""
+    """Contexts (8 bytes each), the last column (6 bytes if it stands behind contexts), and counts in the fewest bytes
+    that hold them all."""
     width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * w - 1)
-    return bytes([width]) + b"".join(c.tobytes() for c in columns) + counts.astype(f"<i{width}").tobytes()
+    last = columns[-1].tobytes() if len(columns) == 1 else columns[-1].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return bytes([width]) + b"".join(c.tobytes() for c in columns[:-1]) + last + counts.astype(f"<i{width}").tobytes()
 
 
 def unpacked(data: bytes, columns: int) -> tuple[list[np.ndarray], np.ndarray]:
-    width = data[0]
-    n = (len(data) - 1) // (8 * columns + width)
-    cols = [np.frombuffer(data, dtype="<u8", count=n, offset=1 + 8 * n * k) for k in range(columns)]
-    return cols, np.frombuffer(data, dtype=f"<i{width}", count=n, offset=1 + 8 * n * columns).astype(np.int64)
+    width, last = data[0], 6 if columns > 1 else 8
+    n = (len(data) - 1) // (8 * (columns - 1) + last + width)
+    out = [np.frombuffer(data, dtype="<u8", count=n, offset=1 + 8 * n * k) for k in range(columns - 1)]
+    at = 1 + 8 * n * (columns - 1)
+    word = np.zeros((n, 8), dtype=np.uint8)
+    word[:, :last] = np.frombuffer(data, dtype=np.uint8, count=n * last, offset=at).reshape(-1, last)
+    return [*out, word.view("<u8").ravel()], np.frombuffer(data, dtype=f"<i{width}", count=n, offset=at + n * last).astype(np.int64)
 
 
-BLOCK = "level int, bucket int, block binary"
+ROW = "level int, bucket int, block binary, sums array<bigint>"
+NAMES = ["level", "bucket", "block", "sums"]
 
 
-def _blocks(level: int, key: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows already sorted by key, cut at the buckets' edges."""
-    edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+def _blocks(level: int, columns: list[np.ndarray], counts: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, cut at the buckets' edges."""
+    edges = np.searchsorted(bucket_of(columns[0], buckets), np.arange(buckets + 1))
     own = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-    for at in range(0, len(own), 64):
-        some = own[at : at + 64]
+    for at in range(0, len(own), 16):
+        some = own[at : at + 16]
         data = [packed([c[edges[b] : edges[b + 1]] for c in columns], counts[edges[b] : edges[b + 1]]) for b in some]
-        yield pa.RecordBatch.from_arrays([pa.array([level] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["level", "bucket", "block"])
+        yield pa.RecordBatch.from_arrays([pa.array([level] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(data, pa.binary()), pa.nulls(len(some), pa.list_(pa.int64()))], names=NAMES)
 
 
 def count_blocks(texts: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -129,25 +140,24 @@ def count_blocks(texts: DataFrame, order: int, buckets: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(held)
             starts = np.cumsum([0, *(len(x) for x in held[:-1])])
-            one = np.ones(len(flat), dtype=np.int64)
+            held.clear()
             if order > 1:
-                columns, n = grouped([*contexts(flat, starts, order)[::-1], flat], one)
-                yield from _blocks(order, columns[0], columns, n, buckets)
-            (key,), n = grouped([scattered(flat)], one)
-            yield from _blocks(0, key, [key], n, buckets)
+                yield from _blocks(order, *grouped([*contexts(flat, starts, order)[::-1], flat & WORD_BITS]), buckets)
+            yield from _blocks(0, *grouped([scattered(flat)]), buckets)
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = tokens_of(text)
-                held.append(x)
-                size += len(x)
-                if size >= STRETCH:
-                    yield from flush()
-                    held, size = [], 0
+            for _, part in text_slices(batch, 0):
+                for text in part:
+                    held.append(tokens_of(text))
+                    size += len(held[-1])
+                    if size >= STRETCH:
+                        yield from flush()
+                        size = 0
         if held:
             yield from flush()
+        give_back()
 
-    return texts.mapInArrow(work, BLOCK)
+    return texts.mapInArrow(work, ROW)
 
 
 def _local(uri: str) -> str | None:
@@ -201,47 +211,57 @@ def pack_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (hashes & ~np.uint64(255)) | np.minimum(counts, 255).astype(np.uint64)
 
 
-def _merge_level(blocks: DataFrame, level: int, buckets: int, root: str) -> DataFrame:
-    """Merge the blocks of one order: write its files, give back a row of sums (bucket, total, distinct, c1..c4) and the
-    blocks of the next lower order."""
-    parts = min(buckets, partitions(blocks.sparkSession))
-    width = max(level, 1)  # columns: level - 1 contexts and the word
+def _merge(blocks: DataFrame, order: int, buckets: int, root: str) -> DataFrame:
+    """Merge the blocks of each (level, bucket): write its files; give back a row of sums (total, distinct, c1..c4) and
+    the blocks of the next lower order. Rows of sums pass through."""
+    parts = min(2 * buckets, partitions(blocks.sparkSession))
+
+    def merged(level: int, bucket: int, rows: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        width = max(level, 1)
+        columns, counts = grouped([np.concatenate([c[k] for c, _ in rows]) for k in range(width)], np.concatenate([n for _, n in rows]))
+        rows.clear()
+        of = f"{root}/{level}-{bucket}"
+        if level <= 1:
+            store(f"{of}.words", np.rec.fromarrays([columns[0], counts.astype(np.uint64)], dtype=PAIR).tobytes())
+        else:
+            first = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
+            sums = [np.add.reduceat(x, first, dtype=np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
+            store(f"{of}.contexts", np.rec.fromarrays([columns[0][first], *(s.astype(t) for s, (_, t) in zip(sums, CONTEXT[1:], strict=True))], dtype=CONTEXT).tobytes())
+            gram = mix(columns[0], columns[-1])
+            by = np.argsort(gram)
+            gram, n = gram[by], counts[by]
+            over = n >= 255
+            store(f"{of}.grams", pack_counts(gram, n).tobytes())
+            store(f"{of}.over", np.rec.fromarrays([gram[over] >> np.uint64(8), n[over].astype(np.uint64)], dtype=PAIR).tobytes())
+            del gram, n, by, over, sums
+        sums = [int(counts.sum()), len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
+        yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=NAMES)
+        if level > 1:
+            below = columns[1:] if level > 2 else [scattered(columns[1])]
+            del columns, counts
+            yield from _blocks(level - 1, *grouped(below), buckets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["level", "bucket", "block", "sums"]
-        stream = ((b, x) for batch in batches for b, x in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True))
-        for bucket, group in itertools.groupby(stream, key=lambda x: x[0]):
-            rows = [unpacked(x, width) for _, x in group]
-            columns, counts = grouped([np.concatenate([c[k] for c, _ in rows]) for k in range(width)], np.concatenate([n for _, n in rows]))
-            del rows
-            word = columns[-1]
-            of = f"{root}/{level}-{bucket}"
-            if level <= 1:
-                store(f"{of}.words", np.rec.fromarrays([word, counts.astype(np.uint64)], dtype=[("w", "<u8"), ("n", "<u8")]).tobytes())
-            else:
-                gram = mix(columns[0], word)
-                by = np.argsort(gram)
-                gram, n = gram[by], counts[by]
-                store(f"{of}.grams", pack_counts(gram, n).tobytes())
-                over = n >= 255
-                store(f"{of}.over", np.rec.fromarrays([gram[over] >> np.uint64(8), n[over].astype(np.uint64)], dtype=[("w", "<u8"), ("n", "<u8")]).tobytes())
-                first = np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])
-                sums = [np.add.reduceat(x.astype(np.int64), first) for x in (counts, counts == 1, counts == 2, counts > 2)]
-                store(f"{of}.contexts", np.rec.fromarrays([columns[0][first], *(s.astype(t) for s, t in zip(sums, ("<u8", "<u4", "<u4", "<u4"), strict=True))], dtype=CONTEXT).tobytes())
-            sums = [int(counts.sum()), len(counts), *(int((counts == k).sum()) for k in (1, 2, 3, 4))]
-            yield pa.RecordBatch.from_arrays([pa.array([level], pa.int32()), pa.array([bucket], pa.int32()), pa.nulls(1, pa.binary()), pa.array([sums], pa.list_(pa.int64()))], names=names)
-            if level > 1:
-                below = columns[1:]
-                if len(below) == 1:
-                    below = [scattered(below[0])]
-                below, n = grouped(below, np.ones(len(word), dtype=np.int64))
-                for b in _blocks(level - 1, below[0], below, n, buckets):
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.list_(pa.int64()))], names=names)
-
-    dealt = blocks.where(F.col("level") == level).select("bucket", "block").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(work, f"{BLOCK}, sums array<bigint>")
-
-
+        key, rows = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                level, bucket = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if not batch.column(2)[i].is_valid:
+                    yield batch.slice(i, 1)
+                    continue
+                if rows and key != (level, bucket):
+                    yield from merged(*key, rows)
+                key = level, bucket
+                rows.append(unpacked(batch.column(2)[i].as_py(), max(level, 1)))
+        if rows:
+            yield from merged(*key, rows)
+        give_back()
+
+    dealt = blocks.repartition(parts, "level", "bucket").sortWithinPartitions("level", "bucket")
+    return dealt.mapInArrow(work, ROW)
+
+
+PAIR = [("w", "<u8"), ("n", "<u8")]
 CONTEXT = [("w", "<u8"), ("n", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")]
 
 
@@ -284,7 +304,7 @@ class Model:
         """Counts of words (distinct, in any order)."""
         out = np.zeros(len(words), dtype=np.int64)
         keys = scattered(words)
-        for at, file in self._each(level, keys, "words", [("w", "<u8"), ("n", "<u8")]):
+        for at, file in self._each(level, keys, "words", PAIR):
             spot = np.minimum(np.searchsorted(file["w"], keys[at]), len(file) - 1)
             out[at] = np.where(file["w"][spot] == keys[at], file["n"][spot], 0)
         return out
@@ -316,7 +336,7 @@ class Model:
             n = np.where(found & ~np.uint64(255) == want, found & np.uint64(255), 0).astype(np.int64)
             big = np.flatnonzero(n == 255)
             if len(big):
-                over = mapped(f"{self.root}/{level}-{b}.over", [("w", "<u8"), ("n", "<u8")])
+                over = mapped(f"{self.root}/{level}-{b}.over", PAIR)
                 n[big] = over["n"][np.searchsorted(over["w"], want[big] >> np.uint64(8))]
             out[at] = n
         return out
@@ -328,13 +348,12 @@ class Model:
         distinct, back = np.unique(flat, return_inverse=True)
         raw = self.words(0, distinct)
         base = np.log10((raw + ADDED) / (self.train_tokens + ADDED * (self.vocabulary + 1)))
-        n = raw if self.words_level == 0 else self.words(1, distinct)
+        n = raw if self.words_level == 0 else self.words(1, distinct & WORD_BITS)
         p = (_less(n, self.discounts[1]) / self.words_total + self.uniform if self.words_total else np.full(len(n), self.uniform))[back]
         for k, context in enumerate(contexts(flat, starts, self.order), 1):
             level = k + 1
-            pair, own = np.unique(mix(context, flat), return_index=True)
-            spot = np.searchsorted(pair, mix(context, flat))
-            count = self.grams(level, context[own], flat[own])[spot]
+            _, own, spot = np.unique(mix(context, flat & WORD_BITS), return_index=True, return_inverse=True)
+            count = self.grams(level, context[own], flat[own] & WORD_BITS)[spot]
             heads, of = np.unique(context, return_inverse=True)
             total, n1, n2, n3 = self.contexts(level, heads).T
             d1, d2, d3 = self.discounts[level]
@@ -355,17 +374,12 @@ def train(texts: DataFrame, order: int = 2, buckets: int | None = None) -> Model
     ship(spark)
     buckets = buckets or partitions(spark)
     root = fresh_path(spark, "lm")
-    blocks = cut(count_blocks(texts, order, buckets), "lm-blocks")
-    sums: dict[int, dict[int, list[int]]] = {}
-    words = cut(_merge_level(blocks, 0, buckets, root), "lm-words")
-    sums[0] = {r.bucket: r.sums for r in words.where("sums is not null").select("bucket", "sums").collect()}
-    for level in range(order, 1, -1):
-        merged = cut(_merge_level(blocks, level, buckets, root), "lm-level")
-        sums[level] = {r.bucket: r.sums for r in merged.where("sums is not null").select("bucket", "sums").collect()}
-        blocks = merged.where("sums is null").select("level", "bucket", "block")
-    if order > 1:
-        last = cut(_merge_level(blocks, 1, buckets, root), "lm-level")
-        sums[1] = {r.bucket: r.sums for r in last.where("sums is not null").select("bucket", "sums").collect()}
+    rows = _merge(count_blocks(texts, order, buckets), order, buckets, root)
+    for _ in range(1, order):
+        rows = _merge(rows, order, buckets, root)
+    sums: dict[int, dict[int, list[int]]] = {level: {} for level in range(order + 1)}
+    for r in rows.select("level", "bucket", "sums").collect():
+        sums[r.level][r.bucket] = r.sums
     return Model(root, order, buckets, sums)
 
 
@@ -382,10 +396,11 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, part in slices(texts, [len(x or "") + 1 for x in texts], 4_000_000):
-                n, known, base, score = own.score([tokens_of(x) for x in part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), own.train_tokens, dtype=np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            for rows, texts in text_slices(batch):
+                for first, part in slices(texts, [len(x or "") + 1 for x in texts], 2_000_000):
+                    n, known, base, score = own.score([tokens_of(x) for x in part])
+                    yield pa.RecordBatch.from_arrays([rows.column(0).slice(first, len(part)), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(n), own.train_tokens, dtype=np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
