@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import MIX_A, MIX_B, cut, ship, text_slices
+from keystrata.llm.common import MIX_A, MIX_B, cut, give_back, ship, text_slices
 from keystrata.llm.tokens import slices
 
 MOST_WINDOWS = 300_000
@@ -236,6 +236,7 @@ def without_contaminated(docs: DataFrame, bench: DataFrame, n: int = 8, least_it
                 np.maximum.at(longest, np.searchsorted(starts, edge[::2], side="right") - 1, edge[1::2] - edge[::2])
                 bad = (longest >= least_run) | (np.array([len(x) for x in items]) >= least_items)
                 yield part.filter(pa.array(~bad))
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)
 

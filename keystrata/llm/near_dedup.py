@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import bloom
-from keystrata.llm.common import MIX_A, MIX_B, ascii_words, cut, partitions, ship, smallest_of_group, word_hashes
+from keystrata.llm.common import MIX_A, MIX_B, ascii_words, cut, give_back, partitions, ship, smallest_of_group, text_slices, word_hashes
 from keystrata.llm.components import components
 
 #: Chance that a pair just at the threshold shares no bucket.
@@ -96,7 +96,7 @@ def set_digests(docs: DataFrame, k: int, threshold: float) -> DataFrame:
         salt = np.arange(bands, dtype=np.uint64) * MIX_B
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in (x for _, part in text_slices(batch) for x in part):
                 s = shingles(ascii_words(text), k)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -114,6 +114,7 @@ def set_digests(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "keys"]
             )
+        give_back()
 
     return docs.mapInArrow(work, schema)
 
@@ -135,6 +136,7 @@ def _signed(docs: DataFrame, sieve, k: int) -> DataFrame:
                     signs.append(perms.minima(s).astype(np.uint8).tobytes())
                     sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "sign", "hashes"])
+        give_back()
 
     return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(work, "rep long, sign binary, hashes binary")
 
@@ -217,6 +219,8 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            rows.clear()
+        give_back()
 
     group = F.xxhash64("bucket", "i", "j")
     dealt = pairs.join(signed, "rep").withColumn("g", group).repartition(partitions(spark), "g").sortWithinPartitions("bucket", "i", "j")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import cut, partitions, ship
+from keystrata.llm.common import cut, give_back, partitions, ship, text_slices
 from keystrata.llm.tokens import chunk_tokens, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
@@ -39,10 +39,11 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_tokens(tokenizer)
-        for batch in batches:
+        parts = ((whole, texts) for batch in batches for whole, texts in text_slices(batch, rows=1000))
+        for batch, texts in parts:
             doc_ids, bucket = batch.column(0), batch.column(2)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for first, part in slices(texts, [len(x) for x in texts], 8_000_000):
+            texts = [x or "" for x in texts]
+            for first, part in slices(texts, [len(x) for x in texts], 4_000_000):
                 rows: list[list] = [[] for _ in range(6 + keep_ids)]
                 at: list[int] = []
                 for i, data in enumerate(tokens.encode(part)):
@@ -58,6 +59,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id:
                 take = pa.array(at, pa.int64())
                 out = [doc_ids.take(take), *(pa.array(x, pa.int64()) for x in rows[1:5]), bucket.take(take)]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(rows[6], pa.binary())] if keep_ids else []), names=schema.names)
+        give_back()
 
     ship(docs.sparkSession)
     key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import crc_of, ship, text_slices
+from keystrata.llm.common import crc_of, give_back, ship, text_slices
 
 BUCKETS, FACTORS, PREFIX = 1 << 20, 4, 4
 #: A term is learnt if that many texts of the sample have it. L1, L2 and the rate of the linear weights.
@@ -63,15 +63,14 @@ class Slots(dict):
 
 
 class Live(Slots):
-    """As Slots, but 0 for words of which neither term has a weight."""
+    """As Slots, but with places in the list of slots that have a weight (from 1), 0 for those that have none."""
 
     def __init__(self, live: np.ndarray):
         super().__init__()
-        self.live = live
+        self.live = {int(slot): i for i, slot in enumerate(live, 1)}
 
     def __missing__(self, word: bytes) -> int:
-        a, b = slot_of(word, 1), slot_of(word[:PREFIX], 2)
-        value = (a << 20 | b) if self.live[a] or self.live[b] else 0
+        value = self.live.get(slot_of(word, 1), 0) << 20 | self.live.get(slot_of(word[:PREFIX], 2), 0)
         if len(self) < self.most:
             self[word] = value
         return value
@@ -97,19 +96,22 @@ def windows(codes: np.ndarray, size: int = WINDOW) -> list[np.ndarray]:
 
 
 class Machine:
-    """bias, w (BUCKETS) and v (BUCKETS x FACTORS) of a factorization machine."""
+    """bias, w and v (FACTORS wide) of a factorization machine, by slot; or by place in `live` once compact."""
 
-    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray):
-        self.bias, self.w, self.v = bias, w, v
+    def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, live: np.ndarray | None = None):
+        self.bias, self.w, self.v, self.live = bias, w, v, live
         self._slots: Live | None = None
 
     def __getstate__(self):
-        return {"bias": self.bias, "at": (at := np.flatnonzero(self.w)), "w": self.w[at], "v": self.v[at]}
+        return {"bias": self.bias, "w": self.w, "v": self.v, "live": self.live}
 
     def __setstate__(self, state):
-        w, v = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
-        w[state["at"]], v[state["at"]] = state["w"], state["v"]
-        self.__init__(state["bias"], w, v)
+        self.__init__(**state)
+
+    def compact(self) -> Machine:
+        """The same with the slots that have a weight only; place 0 has none."""
+        at = np.flatnonzero(self.w)
+        return Machine(self.bias, np.r_[0.0, self.w[at]], np.vstack([np.zeros((1, FACTORS)), self.v[at]]), at)
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
         """Of rows of distinct slots."""
@@ -125,8 +127,10 @@ class Machine:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The most toxic window's probability, for each text."""
+        if self.live is None:
+            return self.compact().score(texts)
         if self._slots is None:
-            self._slots = Live(self.w != 0)
+            self._slots = Live(self.live)
         rows, owner = [], []
         for i, text in enumerate(texts):
             for x in windows(terms(text, self._slots)):
@@ -239,16 +243,14 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
     """doc_id, score."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(machine)
+    sent = spark.sparkContext.broadcast(machine.compact())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            scores = np.zeros(len(texts))
-            for at in range(0, len(texts), 200):
-                scores[at : at + 200] = own.score(texts[at : at + 200])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+            for part, texts in text_slices(batch, rows=200):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.score(texts))], names=["doc_id", "score"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")
 
@@ -256,12 +258,13 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score is below the threshold."""
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = docs.sparkSession.sparkContext.broadcast(machine.compact())
     at = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, at):
                 yield part.filter(pa.array(sent.value.score(texts) < threshold))
+        give_back()
 
     return docs.mapInArrow(work, docs.schema)
