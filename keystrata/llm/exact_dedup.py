@@ -158,7 +158,7 @@ def compact(blocks: DataFrame, shards: int) -> DataFrame:
 
 def extend(index: DataFrame, blocks: DataFrame, shards: int) -> DataFrame:
     """Compact an index's merged runs (rows of compact with run -1) with the runs of a later batch."""
-    return compact(index.where("run = -1").select("shard", F.lit(-1).cast("long").alias("run"), "block").unionByName(blocks.select("shard", "run", "block")), shards)
+    return compact(index.where("run = -1").select("shard", F.lit(-2).cast("long").alias("run"), "block").unionByName(blocks.select("shard", "run", "block")), shards)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable: int = MEMTABLE, digest_bytes: int = 16, shards: int | None = None) -> DataFrame:

@@ -69,8 +69,8 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id:
 def place(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     """Placements (length, first rank, how many, first sequence, offset) and the number of sequences.
 
-    The heap holds groups of equal packs by room. Each step fills a whole group, splits one or opens one, so there are
-    far fewer placements than pieces, however many pieces there are.
+    The heap holds groups of equal packs by room. Each step takes a whole group, splits one or opens one, so placements
+    grow with the lengths that there are, not with the pieces.
     """
     groups: list[tuple[int, int, int]] = []  # (minus the room, first sequence, packs)
     placed: list[tuple[int, int, int, int, int]] = []
@@ -78,18 +78,22 @@ def place(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
-            if groups and -groups[0][0] >= length:
-                room, first, packs = heapq.heappop(groups)
-                room = -room
-                n = min(packs, left)
-                if n < packs:
-                    heapq.heappush(groups, (-room, first + n, packs - n))
-            else:
-                room, first, n = capacity, sequences, left
-                sequences += n
-            placed.append((length, rank, n, first, capacity - room))
-            if room > length:
-                heapq.heappush(groups, (length - room, first, n))
+            if not groups or -groups[0][0] < length:  # a new pack stays the shortest until it is full
+                each = capacity // length
+                for packs, deep in ((left // each, each), (1, left % each)):
+                    if packs and deep:
+                        placed += [(length, rank + i * packs, packs, sequences, i * length) for i in range(deep)]
+                        if capacity > deep * length:
+                            heapq.heappush(groups, (deep * length - capacity, sequences, packs))
+                        rank, sequences = rank + deep * packs, sequences + packs
+                break
+            room, first, packs = heapq.heappop(groups)
+            n = min(packs, left)
+            if n < packs:
+                heapq.heappush(groups, (room, first + n, packs - n))
+            placed.append((length, rank, n, first, capacity + room))
+            if -room > length:
+                heapq.heappush(groups, (room + length, first, n))
             rank, left = rank + n, left - n
     return np.array(placed, dtype=np.int64).reshape(-1, 5), sequences
 
