@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +80,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class WordHashes(dict):
     """xxh64 of words (bytes); keeps the first `most` words it meets, so memory is bounded and frequent words are kept."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
@@ -92,15 +94,20 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-_hashes: WordHashes | None = None
+_live: dict[Any, Any] = {}
+
+
+def only(key: Any, make: Callable[[], Any]) -> Any:
+    """A worker process keeps the cache of one operator: asking for another's drops it."""
+    if key not in _live:
+        _live.clear()
+        give_back()
+        _live[key] = make()
+    return _live[key]
 
 
 def word_hashes() -> WordHashes:
-    """One cache for each worker process."""
-    global _hashes
-    if _hashes is None:
-        _hashes = WordHashes()
-    return _hashes
+    return only("words", WordHashes)
 
 
 def ascii_words(text: str | None) -> list[bytes]:

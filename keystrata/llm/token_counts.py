@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import ship
+from keystrata.llm.common import only, ship
 
 #: Pre-tokens of a leaf when it is built; a leaf is split when it has four times as many. Characters that a pre-token may look ahead.
 LEAF, LOOK = 64, 4
@@ -60,14 +60,8 @@ class Counter:
         return total
 
 
-_counters: dict[tuple[str, str], Counter] = {}
-
-
 def counter(ranks_path: str, pattern: str) -> Counter:
-    key = (ranks_path, pattern)
-    if key not in _counters:
-        _counters[key] = Counter(*key)
-    return _counters[key]
+    return only(("counts", ranks_path, pattern), lambda: Counter(ranks_path, pattern))
 
 
 class TokenTree:

@@ -11,9 +11,13 @@ import re
 import sys
 from array import array
 
+import numpy as np
+
+from keystrata.llm.common import only
+
 #: Characters at which str.split() splits but the tokenizer's \\s does not.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def chunks(text: str) -> list[str]:
@@ -22,54 +26,81 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def lowered(text: str) -> str:
+    """A-Z to a-z, as the tokenizer will do, where that cannot change anything else: without characters that compose
+    with letters (all of Latin-1 is safe) and without marks of added tokens, which are told by case."""
+    if "<|" in text:
+        return text
+    try:
+        return text.encode("latin-1").lower().decode("latin-1")
+    except UnicodeEncodeError:
+        return text
+
+
 class ChunkTokens:
-    """Ids as little-endian unsigned 32-bit bytes. Keeps at most `most` chunks of at most `longest` characters."""
+    """Ids as little-endian unsigned 32-bit bytes. Keeps at most `most` chunks of at most `longest` characters; a chunk is
+    kept when it is met in a second batch, so that the many that occur once do not fill the cache."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 64, seen_bits: int = 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
         self.most, self.longest = most, longest
+        self.seen = np.zeros(1 << seen_bits, dtype=bool)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        cache = self.cache
-        split = [chunks(t) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(set(words).difference(cache))
-        passing: list[str] = []  # in the cache for this call only
-        if new:
-            order = list(new)
-            room = self.most - len(cache)
-            if room < len(order):
-                order.sort(key=len)  # rather keep the short ones
-                passing = order[max(0, room) :]
-            else:
-                passing = [w for w in order if len(w) > self.longest]
-            for at in range(0, len(order), 20_000):
-                part = order[at : at + 20_000]
-                for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    ids = array("I", enc.ids)
-                    if sys.byteorder == "big":
-                        ids.byteswap()
-                    cache[word] = ids.tobytes()
-        out = [b"".join(map(cache.__getitem__, words)) for words in split]
-        for word in passing:
-            del cache[word]
-        return out
-
-
-_open: dict[str, ChunkTokens] = {}
+        get = self.cache.get
+        rows: list[list[bytes | None]] = []
+        gaps: list[tuple[int, list[int], list[str]]] = []
+        fresh: dict[str, bytes] = {}
+        for k, text in enumerate(texts):
+            words = chunks(lowered(text))
+            row = list(map(get, words))
+            rows.append(row)
+            if None in row:
+                at = [i for i, x in enumerate(row) if x is None]
+                new = [words[i] for i in at]
+                gaps.append((k, at, new))
+                fresh.update(dict.fromkeys(new, b""))
+        if fresh:
+            self._fill(fresh)
+            for k, at, new in gaps:
+                row = rows[k]
+                for i, word in zip(at, new, strict=True):
+                    row[i] = fresh[word]
+        return [b"".join(row) for row in rows]  # type: ignore[arg-type]
+
+    def _fill(self, fresh: dict[str, bytes]) -> None:
+        """Encode chunks. A letter and a final period or comma are two pre-tokens, so the word before is encoded once for
+        all three forms."""
+        stem = {w: w[:-1] for w in fresh if w[-1] in ".," and w[-2:-1].isalpha() and w[-2] < "\u0100"}
+        own = {stem.get(w, w): b"" for w in fresh} | dict.fromkeys((".", ","), b"") if stem else fresh
+        order = list(own)
+        for at in range(0, len(order), 20_000):
+            part = order[at : at + 20_000]
+            for word, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = array("I", enc.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                own[word] = ids.tobytes()
+        if stem:
+            fresh.update((w, own[stem[w]] + own[w[-1]] if w in stem else own[w]) for w in list(fresh))
+        order = list(fresh)
+        slot = np.fromiter(map(hash, order), dtype=np.int64, count=len(order)) & (len(self.seen) - 1)
+        again = self.seen[slot]
+        self.seen[slot] = True
+        room = self.most - len(self.cache)
+        if room > 0:
+            kept = [order[i] for i in np.flatnonzero(again) if len(order[i]) <= self.longest]
+            self.cache.update((w, fresh[w]) for w in kept[:room])
 
 
 def chunk_tokens(path: str) -> ChunkTokens:
-    """One tokenizer and cache for each worker process and vocabulary file."""
-    if path not in _open:
-        _open[path] = ChunkTokens(path)
-    return _open[path]
+    """One tokenizer and cache for each worker process."""
+    return only(("chunks", path), lambda: ChunkTokens(path))
 
 
 def vocabulary(name: str) -> str:

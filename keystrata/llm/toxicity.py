@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import crc_of, give_back, ship, text_slices
+from keystrata.llm.common import crc_of, give_back, only, ship, text_slices
 
 BUCKETS, FACTORS, PREFIX = 1 << 20, 4, 4
 #: A term is learnt if that many texts of the sample have it. L1, L2 and the rate of the linear weights.
@@ -51,7 +51,7 @@ def split(text: str | None) -> list[bytes]:
 class Slots(dict):
     """Words to (slot of the word) << 20 | slot of its prefix, for the first `most` words met."""
 
-    def __init__(self, most: int = 1 << 18):
+    def __init__(self, most: int = 1 << 17):
         super().__init__()
         self.most = most
 
@@ -100,13 +100,6 @@ class Machine:
 
     def __init__(self, bias: float, w: np.ndarray, v: np.ndarray, live: np.ndarray | None = None):
         self.bias, self.w, self.v, self.live = bias, w, v, live
-        self._slots: Live | None = None
-
-    def __getstate__(self):
-        return {"bias": self.bias, "w": self.w, "v": self.v, "live": self.live}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
 
     def compact(self) -> Machine:
         """The same with the slots that have a weight only; place 0 has none."""
@@ -129,11 +122,10 @@ class Machine:
         """The most toxic window's probability, for each text."""
         if self.live is None:
             return self.compact().score(texts)
-        if self._slots is None:
-            self._slots = Live(self.live)
+        slots = only(("terms", self.bias, self.live.tobytes()), lambda: Live(self.live))
         rows, owner = [], []
         for i, text in enumerate(texts):
-            for x in windows(terms(text, self._slots)):
+            for x in windows(terms(text, slots)):
                 rows.append(x)
                 owner.append(i)
         best = np.full(len(texts), -np.inf)

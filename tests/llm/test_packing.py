@@ -12,7 +12,7 @@ from keystrata.llm import best_fit, packing
 from keystrata.llm.tokens import ChunkTokens, chunks
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", None, "hello world", "a" * 3000, "x \x1c y z <|endoftext|> Ünï İΣς", " \n\t ", "word " * 50, "word " * 50, "It's 12 o'clock?!", "日本語 テスト"] + [f"some text number {i} " * (i % 13) for i in range(40)]
+TEXTS = ["End. End, END. it's. x'S, H\u0331. \u1e96, ?!. 5. a.b. É. é, <|STARTOFTEXT|>. <|endoftext|>, ..", "Σ. ΟΔΟΣ. İ, ǅ.", "", None, "hello world", "a" * 3000, "x \x1c y z <|endoftext|> Ünï İΣς", " \n\t ", "word " * 50, "word " * 50, "It's 12 o'clock?!", "日本語 テスト"] + [f"some text number {i} " * (i % 13) for i in range(40)]
 
 
 def encode(text):
