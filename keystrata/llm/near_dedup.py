@@ -5,11 +5,10 @@
 2. Minima under `bands * rows` permutations give band keys; representatives that share a key share a bucket. Bands are
    chosen so that a pair at the threshold shares no bucket with a chance below MISS. Buckets with the same members
    (near copies meet in most bands) are kept once.
-3. Only members of buckets get a signature: the low 8 bits of SIGNATURE further minima, packed, and their set as 32-bit
-   hashes. In a bucket two documents are compared by size, then by the share of equal signature bytes, corrected for
-   chance collisions (p = J + (1 - J) / 256), then by their sets. Large buckets are cut into blocks and each pair of
-   blocks is one group, so no task holds a bucket; in a group, documents that are already linked are not compared again,
-   and what comes out is a forest of links, not pairs.
+3. Only members of buckets get a signature: the low 8 bits of SIGNATURE further minima, packed, and their set. In a
+   bucket two documents are compared by size, then by the share of equal signature bytes, corrected for chance collisions
+   (p = J + (1 - J) / 256), then by their sets. Documents that are linked already are not compared again, and what comes
+   out is a forest of links, not pairs. A large bucket is dealt into blocks (find_links), so no task holds a bucket.
 4. Links are confirmed on 64-bit sets, and components of links give the answer.
 
 Defined results: a text without words (null, empty, blank) has an empty set and is linked with nothing; with fewer words
@@ -27,7 +26,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import bloom
@@ -159,16 +158,19 @@ class Forest:
             self.up = nxt
 
 
-def linked(ids: np.ndarray, side: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], share: Fraction, crossing: bool) -> list[tuple[int, int]]:
-    """A forest of links among documents with 64-bit sets; crossing: compare only documents of different sides."""
+def linked(ids: np.ndarray, side: np.ndarray, comp: np.ndarray, signs: np.ndarray, sets: list[np.ndarray], share: Fraction, crossing: bool) -> list[tuple[int, int]]:
+    """A forest of links among documents with 64-bit sets, between components that are known to be linked (comp).
+    crossing: compare only documents of different sides."""
     n, p, q = len(ids), share.numerator, share.denominator
     size = np.array([len(s) for s in sets])
     by = np.argsort(size, kind="stable")
-    size, side, signs, ids, sets = size[by], side[by], signs[by], ids[by], [sets[i] for i in by]
+    size, side, comp, signs, ids, sets = size[by], side[by], comp[by], signs[by], ids[by], [sets[i] for i in by]
     t = float(share)
     cut_at = t - DEVIATIONS * math.sqrt(t * (1 - t) / SIGNATURE)
     least = (cut_at * (1 - 1 / 256) + 1 / 256) * SIGNATURE
     forest, links = Forest(n), []
+    first = np.unique(comp, return_index=True, return_inverse=True)[1:]
+    forest.up = first[0][first[1]]  # a known component starts as one tree
     for i in range(n - 1):
         upto = np.searchsorted(size, size[i] * q // p, side="right")  # larger sets cannot reach the share
         if upto <= i + 1:
@@ -195,36 +197,70 @@ def linked(ids: np.ndarray, side: np.ndarray, signs: np.ndarray, sets: list[np.n
     return links
 
 
-def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame:
-    """members (bucket, rep, n_shingles) and signed sets to confirmed links (a, b)."""
-    spark = members.sparkSession
-    count = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2"))
-    once = count.groupBy("n", "m", "s1", "s2").agg(F.min("bucket").alias("bucket"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("int")
-    once = once.select("bucket", blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int")
-    pairs = members.join(once, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep")
+def _compare(groups: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame:
+    """groups (bucket, i, j, own, rep, comp) to links (a, b): all of a group with i = j, else sides against each other."""
+    names = ["bucket", "i", "j", "own", "rep", "comp", "sign", "hashes"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "i", "j", "own", "rep", "sign", "hashes"]
         stream = (row for b in batches for at in range(0, b.num_rows, 256) for row in zip(*(b.slice(at, 256).column(c).to_pylist() for c in names), strict=True))
         for (_, i, j), group in itertools.groupby(stream, key=lambda x: x[:3]):
             rows = list(group)
             if len(rows) < 2:
                 continue
-            ids, side = np.array([x[4] for x in rows]), np.array([x[3] for x in rows])
-            signs = np.frombuffer(b"".join(x[5] for x in rows), dtype=np.uint8).reshape(-1, SIGNATURE)
-            found = linked(ids, side, signs, [np.frombuffer(x[6], dtype=np.uint64) for x in rows], share, i != j)
+            ids, side, comp = (np.array([x[k] for x in rows]) for k in (4, 3, 5))
+            signs = np.frombuffer(b"".join(x[6] for x in rows), dtype=np.uint8).reshape(-1, SIGNATURE)
+            found = linked(ids, side, comp, signs, [np.frombuffer(x[7], dtype=np.uint64) for x in rows], share, i != j)
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
             rows.clear()
         give_back()
 
-    group = F.xxhash64("bucket", "i", "j")
-    dealt = pairs.join(signed, "rep").withColumn("g", group).repartition(partitions(spark), "g").sortWithinPartitions("bucket", "i", "j")
-    return dealt.select("bucket", "i", "j", "own", "rep", "sign", "hashes").mapInArrow(work, "a long, b long").distinct()
+    dealt = groups.join(signed, "rep").withColumn("g", F.xxhash64("bucket", "i", "j")).repartition(partitions(groups.sparkSession), "g").sortWithinPartitions("bucket", "i", "j")
+    return dealt.select(*names).mapInArrow(work, "a long, b long").distinct()
+
+
+def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame:
+    """members (bucket, rep, n_shingles) and signed sets to confirmed links (a, b).
+
+    A small bucket is one group. A large one is first dealt into blocks by two different hashes, which takes two rows a
+    member and joins nearly all that have links into components. Then only documents of different components are left to
+    compare: components of a block or more have blocks of their own, all others share mixed blocks, and a block meets
+    those of other components. That takes rows in proportion to the members times the mixed blocks.
+    """
+    count = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2"))
+    once = count.groupBy("n", "m", "s1", "s2").agg(F.min("bucket").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("long")
+    dealt = cut(members.join(once.select("bucket", blocks.alias("blocks")), "bucket"), "dealt")
+
+    def block(salt: int) -> Column:
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("blocks"))
+
+    large = dealt.where("blocks > 1")
+    first = dealt.select("bucket", block(3).alias("i"), "rep").union(large.select("bucket", (block(5) + F.col("blocks")).alias("i"), "rep"))
+    links = cut(_compare(first.select("bucket", "i", F.col("i").alias("j"), F.col("i").alias("own"), "rep", F.col("rep").alias("comp")), signed, share), "links-1")
+    if large.isEmpty():
+        return links
+
+    lead = components(links).select(F.col("node").alias("rep"), "component")
+    known = cut(large.join(lead, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")), "known")
+    sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
+    sizes = sizes.join(several, "bucket").withColumn("whole", (F.col("n") >= BLOCK) | (F.col("m") >= BLOCK_SHINGLES))
+    sizes = sizes.withColumn("of", F.when(F.col("whole"), F.col("comp")).otherwise(-1))  # -1: mixed
+    parts = sizes.groupBy("bucket", "of").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("m") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    placed = known.join(sizes.select("bucket", "comp", "of"), ["bucket", "comp"]).join(parts, ["bucket", "of"]).withColumn("at", F.xxhash64("of", block(9)))
+    placed = cut(placed.select("bucket", "of", "at", "rep", "comp"), "placed")
+    spots = cut(placed.select("bucket", "of", "at").distinct(), "spots")
+    x, y = (spots.select("bucket", F.col("of").alias(f"of_{k}"), F.col("at").alias(k)) for k in "ij")
+    mixed = x.where("of_i = -1").join(y.where("of_j = -1"), "bucket").where("i <= j").union(x.where("of_i = -1").join(y.where("of_j <> -1"), "bucket"))
+    heads = spots.where("of <> -1").select("bucket", "of").distinct()
+    rivals = heads.select("bucket", F.col("of").alias("of_i")).join(heads.select("bucket", F.col("of").alias("of_j")), "bucket").where("of_i < of_j")
+    whole = rivals.join(x, ["bucket", "of_i"]).join(y, ["bucket", "of_j"])
+    pairs = cut(mixed.select("bucket", "i", "j").union(whole.select("bucket", "i", "j")), "block-pairs")
+    one = pairs.join(placed.withColumnRenamed("at", "i"), ["bucket", "i"]).select("bucket", "i", "j", F.col("i").alias("own"), "rep", "comp")
+    other = pairs.where("i <> j").join(placed.withColumnRenamed("at", "j"), ["bucket", "j"]).select("bucket", "i", "j", F.col("j").alias("own"), "rep", "comp")
+    return links.union(_compare(one.union(other), signed, share))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,10 +100,12 @@ def test_near_duplicates(docs_of, k, share):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(TEXTS)
 
 
-def test_large_bucket_is_cut_into_blocks(docs_of, monkeypatch):
+@pytest.mark.parametrize("share", [0.02, 0.06, 0.1])
+def test_large_buckets_are_cut_into_blocks(docs_of, monkeypatch, share):
+    """Alike texts, of which many, some or few are linked, in blocks of 8."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     base = prose(120)
-    texts = [edited(base, 0.02) for _ in range(60)]
+    texts = [edited(base, share) for _ in range(90)] + [edited(BASES[4], 0.01) for _ in range(20)]
     got = near_dedup.near_duplicates(docs_of(texts), 3, Fraction(85, 100)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_near(list(enumerate(texts)), 3, Fraction(85, 100))
 
