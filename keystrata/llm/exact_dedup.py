@@ -152,7 +152,7 @@ def compact(blocks: DataFrame, shards: int) -> DataFrame:
                         [pa.array(np.full(n, run)), pa.array(rows["hi"].view("i8")), pa.array(rows["lo"].view("i8")), pa.array(hit["id"].astype("i8")), pa.array(hit["n"].astype("i8")), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names
                     )
 
-    dealt = blocks.select("shard", "run", "block").repartition(parts, "shard").sortWithinPartitions("shard", "run")
+    dealt = blocks.select("shard", "run", "block").repartitionById(parts, F.pmod("shard", F.lit(parts))).sortWithinPartitions("shard", "run")
     return dealt.mapInArrow(work, "run long, hi long, lo long, keep_id long, group_size long, shard int, block binary, filter binary")
 
 

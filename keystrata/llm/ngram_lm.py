@@ -9,7 +9,8 @@ neighbour and block, however often it occurs.
 
 Storing. Each order's bucket is a file of the sorted hashes of its n-grams with their counts, and one of the sorted
 hashes of its contexts with their totals, in the shared folder. Workers map these files; pages that no text needs are
-never read. Where the shared folder is not mounted as files, a worker fetches a bucket's file once and maps its copy.
+never read. Where the shared folder is not mounted as files, Spark hands
+the files out to the executors, which map their copies.
 
 Scoring. P(w|h) = max(c(hw) - D(c), 0) / c(h) + g(h) P(w|h'), D for counts of 1, 2 and more from the counts of counts of
 each order; below single words stands the uniform distribution over the vocabulary and one unknown word. Sentences are
@@ -24,12 +25,12 @@ doc_id counts as the empty id when rows are held out; no training rows give a mo
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,21 +188,18 @@ def store(uri: str, data: bytes) -> None:
     system.move(part, inner)
 
 
+def part_uri(root: str, level: int, bucket: int) -> str:
+    """File names are unique over models, as Spark may hand them out by name."""
+    return f"{root}/{os.path.basename(root)}-{level}-{bucket}"
+
+
 _mapped: dict[str, np.ndarray] = {}
 
 
 def mapped(uri: str, dtype: str) -> np.ndarray:
     """A file of the shared folder as a memory-mapped array."""
     if uri not in _mapped:
-        path = _local(uri)
-        if path is None:
-            from pyarrow import fs
-
-            system, inner = fs.FileSystem.from_uri(uri)
-            path = os.path.join(tempfile.gettempdir(), uuid.uuid4().hex)
-            with system.open_input_stream(inner) as f, open(path, "wb") as g:
-                while chunk := f.read(1 << 24):
-                    g.write(chunk)
+        path = _local(uri) or SparkFiles.get(os.path.basename(uri))
         _mapped[uri] = np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=dtype)
     return _mapped[uri]
 
@@ -214,13 +212,13 @@ def pack_counts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _merge(blocks: DataFrame, order: int, buckets: int, root: str) -> DataFrame:
     """Merge the blocks of each (level, bucket): write its files; give back a row of sums (total, distinct, c1..c4) and
     the blocks of the next lower order. Rows of sums pass through."""
-    parts = min(2 * buckets, partitions(blocks.sparkSession))
+    parts = min(buckets, partitions(blocks.sparkSession))
 
     def merged(level: int, bucket: int, rows: list[tuple[list[np.ndarray], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         width = max(level, 1)
         columns, counts = grouped([np.concatenate([c[k] for c, _ in rows]) for k in range(width)], np.concatenate([n for _, n in rows]))
         rows.clear()
-        of = f"{root}/{level}-{bucket}"
+        of = part_uri(root, level, bucket)
         if level <= 1:
             store(f"{of}.words", np.rec.fromarrays([columns[0], counts.astype(np.uint64)], dtype=PAIR).tobytes())
         else:
@@ -257,7 +255,8 @@ def _merge(blocks: DataFrame, order: int, buckets: int, root: str) -> DataFrame:
             yield from merged(*key, rows)
         give_back()
 
-    dealt = blocks.repartition(parts, "level", "bucket").sortWithinPartitions("level", "bucket")
+    place = F.pmod(F.col("bucket") + F.when(F.col("level") == 0, parts // 2).otherwise(0), F.lit(parts))
+    dealt = blocks.repartitionById(parts, place).sortWithinPartitions("level", "bucket")
     return dealt.mapInArrow(work, ROW)
 
 
@@ -298,7 +297,7 @@ class Model:
         edges = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b in self.present.get(level, ()):
             if edges[b] < edges[b + 1]:
-                yield order[edges[b] : edges[b + 1]], mapped(f"{self.root}/{level}-{b}.{kind}", dtype)
+                yield order[edges[b] : edges[b + 1]], mapped(f"{part_uri(self.root, level, b)}.{kind}", dtype)
 
     def words(self, level: int, words: np.ndarray) -> np.ndarray:
         """Counts of words (distinct, in any order)."""
@@ -329,14 +328,14 @@ class Model:
             at = order[edges[b] : edges[b + 1]]
             if not len(at):
                 continue
-            file = mapped(f"{self.root}/{level}-{b}.grams", "<u8")
+            file = mapped(f"{part_uri(self.root, level, b)}.grams", "<u8")
             want = gram[at] & ~np.uint64(255)
             spot = np.minimum(np.searchsorted(file, want), len(file) - 1)
             found = file[spot]
             n = np.where(found & ~np.uint64(255) == want, found & np.uint64(255), 0).astype(np.int64)
             big = np.flatnonzero(n == 255)
             if len(big):
-                over = mapped(f"{self.root}/{level}-{b}.over", PAIR)
+                over = mapped(f"{part_uri(self.root, level, b)}.over", PAIR)
                 n[big] = over["n"][np.searchsorted(over["w"], want[big] >> np.uint64(8))]
             out[at] = n
         return out
@@ -380,6 +379,11 @@ def train(texts: DataFrame, order: int = 2, buckets: int | None = None) -> Model
     sums: dict[int, dict[int, list[int]]] = {level: {} for level in range(order + 1)}
     for r in rows.select("level", "bucket", "sums").collect():
         sums[r.level][r.bucket] = r.sums
+    if _local(root) is None:  # Spark hands the files out to the executors
+        for level, of in sums.items():
+            for bucket in of:
+                for kind in ("words",) if level <= 1 else ("grams", "over", "contexts"):
+                    spark.sparkContext.addFile(f"{part_uri(root, level, bucket)}.{kind}")
     return Model(root, order, buckets, sums)
 
 

@@ -101,7 +101,7 @@ def shard_by_bytes(df: DataFrame, key: str, size: str, shards: int = 16, ranges:
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LOWEST + 1)).alias("k"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("w"))
     ranges = ranges or min(MOST_RANGES, max(1, -(-partitions(spark) // shards)))
-    fine, _, total = splitters(rows, shards * ranges, probes, tolerance)
+    fine, _, _ = splitters(rows, shards * ranges, probes, tolerance)
     bounds = sorted(fine)
     k = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST + 1))
     part = _cases(k, bounds)
@@ -112,7 +112,7 @@ def shard_by_bytes(df: DataFrame, key: str, size: str, shards: int = 16, ranges:
             sofar = 0
         base.append(sofar)
         sofar += held.get(p, 0)
-    dealt = df.drop("shard", "slot").withColumn("_part", part).repartition(max(partitions(spark), shards * ranges), "_part")
+    dealt = df.drop("shard", "slot").withColumn("_part", part).repartitionById(shards * ranges, F.col("_part"))
     own = Window.partitionBy("_part").orderBy(F.col(key).asc_nulls_first(), *(ties or []))
     slot = F.row_number().over(own).cast("long") - 1 + F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("_part") + 1)
     return dealt.withColumn("shard", F.floor(F.col("_part") / ranges).cast("int")).withColumn("slot", slot).drop("_part")

@@ -89,3 +89,9 @@ def test_known_texts_score_better(docs_of):
     m = L.train(docs.select("text"))
     r = {x.doc_id: x for x in L.perplexity(L.score_documents(docs_of(["the cat sat on the mat", "mat the on sat cat the"]), m)).collect()}
     assert r[0].perplexity < r[1].perplexity
+
+
+def test_store_in_other_file_systems(tmp_path, monkeypatch):
+    monkeypatch.setattr(L, "_local", lambda uri: None)
+    L.store(f"file://{tmp_path}/a/b.words", b"12345678")
+    assert (tmp_path / "a/b.words").read_bytes() == b"12345678" and len(list((tmp_path / "a").iterdir())) == 1
