@@ -24,6 +24,21 @@ def overlay(base: DataFrame, staged: DataFrame, key: tuple[str, ...], op: str =
     return base.join(staged.select(*key), list(key), "left_anti").select(*base.columns).unionByName(live)
 
 
+def newest(changes: DataFrame, key: tuple[str, ...], version: str = "_v") -> DataFrame:
+    """Of change frames (columns, op, version) each key's last change, with op and without version."""
+    rest = [c for c in changes.columns if c not in key]
+    latest = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_c"))
+    return latest.select(*key, "_c.*").select(*[c for c in changes.columns if c != version])
+
+
+def stack(old: DataFrame | None, new: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """A later set of changes (columns and op, distinct keys) on top of an earlier one."""
+    if old is None:
+        return new
+    kept = old.join(new.select(*key), list(key), "left_anti").select(*old.columns) if key else old
+    return kept.unionByName(new)
+
+
 def log_of(before: DataFrame, after: DataFrame, key: tuple[str, ...], xid: int) -> DataFrame:
     """The changes between two states of a table as log rows."""
     rest = [c for c in before.columns if c not in key]

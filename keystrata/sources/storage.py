@@ -1,7 +1,10 @@
-"""Tables as immutable Parquet versions under a manifest.
+"""Tables as immutable Parquet files under a manifest: a base and the changes since (merge on read).
 
-A commit writes whole new versions of the tables it changed and then creates manifest N+1, which must not exist yet:
-creating it is the commit, and whoever comes second has lost. Readers hold the manifest that they began with.
+A commit writes the changed rows of each table (with op) and then creates manifest N+1, which must not exist yet:
+creating it is the commit, and whoever comes second has lost. So a statement costs what it changes, not what the table
+holds. Reading joins the base with the newest change of each key; a filter on the key reaches the base's scan. When a
+table has MOST_DELTAS change files they are merged into one; compact() folds them into a new base. Readers hold the
+manifest that they began with.
 """
 
 from __future__ import annotations
@@ -10,10 +13,16 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keystrata.functions.types import EngineError
+from keystrata.operators import versions
 from keystrata.sources.catalog import Catalog, TableDef
 
+#: Change files of a table before they are merged into one.
+MOST_DELTAS = 8
+
 
 class Storage:
     def __init__(self, spark: SparkSession, root: str):
@@ -31,7 +40,7 @@ class Storage:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/manifest"))]
         return max((int(x[:-5]) for x in found if x.endswith(".json") and x[:-5].isdigit()), default=None)
 
-    def manifest(self, version: int) -> tuple[Catalog, dict[str, str]]:
+    def manifest(self, version: int) -> tuple[Catalog, dict[str, dict]]:
         stream = self._fs.open(self._path(f"{self.root}/manifest/{version}.json"))
         try:
             text = bytes(stream.readAllBytes()).decode()
@@ -40,18 +49,42 @@ class Storage:
         x = json.loads(text)
         return Catalog.from_json(x["catalog"]), x["data"]
 
-    def read(self, table: TableDef, path: str | None) -> DataFrame:
-        if path is None:
-            return self.spark.createDataFrame([], table.schema)
-        return self.spark.read.schema(table.schema).parquet(f"{self.root}/{path}").select(*table.names)
+    def read(self, table: TableDef, entry: dict | None) -> DataFrame:
+        return self.read_frame(table.schema, table.key, entry)
+
+    def read_frame(self, schema: T.StructType, key: tuple[str, ...], entry: dict | None) -> DataFrame:
+        entry = entry or {"base": None, "deltas": []}
+        base = self.spark.read.schema(schema).parquet(f"{self.root}/{entry['base']}") if entry["base"] else self.spark.createDataFrame([], schema)
+        if not entry["deltas"]:
+            return base
+        changes = self._changes(schema, entry)
+        if not key:  # only inserts are possible
+            return base.unionByName(changes.select(*base.columns))
+        return versions.overlay(base, versions.newest(changes, key), key)
+
+    def _changes(self, schema: T.StructType, entry: dict) -> DataFrame:
+        wide = T.StructType([*schema.fields, T.StructField("op", T.StringType()), T.StructField("_v", T.LongType())])
+        return self.spark.read.schema(wide).parquet(*[f"{self.root}/{p}" for p in entry["deltas"]])
 
-    def commit(self, base: int, catalog: Catalog, data: dict[str, str], changed: dict[str, DataFrame]) -> int:
-        """Write changed tables and the next manifest; another commit since base is a conflict."""
+    def _write(self, name: str, df: DataFrame) -> str:
+        path = f"data/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
+
+    def commit(self, base: int, catalog: Catalog, data: dict[str, dict], whole: dict[str, DataFrame], changed: dict[str, tuple[DataFrame, tuple[str, ...]]] | None = None) -> int:
+        """Write new bases (whole) and changes (columns and op, with the key), and the next manifest; another commit since
+        base is a conflict."""
         data = dict(data)
-        for name, df in changed.items():
-            path = f"data/{name}/{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.root}/{path}")
-            data[name] = path
+        for name, df in whole.items():
+            data[name] = {"base": self._write(name, df), "deltas": []}
+        for name, (df, key) in (changed or {}).items():
+            entry = data.get(name) or {"base": None, "deltas": []}
+            entry = {"base": entry["base"], "deltas": [*entry["deltas"], self._write(name, df.withColumn("_v", F.lit(base + 1).cast("long")))]}
+            if key and len(entry["deltas"]) >= MOST_DELTAS:
+                schema = T.StructType([f for f in df.schema.fields if f.name != "op"])
+                merged = versions.newest(self._changes(schema, entry), key).withColumn("_v", F.lit(base + 1).cast("long"))
+                entry["deltas"] = [self._write(name, merged)]
+            data[name] = entry
         data = {k: v for k, v in data.items() if k in catalog.tables or k.startswith("__")}
         target = self._path(f"{self.root}/manifest/{base + 1}.json")
         part = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
@@ -65,10 +98,17 @@ class Storage:
             raise EngineError("conflict", f"version {base + 1} was committed meanwhile")
         return base + 1
 
+    def compact(self, name: str) -> int:
+        """Fold a table's changes into a new base."""
+        version = self.latest()
+        catalog, data = self.manifest(version)
+        table = catalog.table(name)
+        return self.commit(version, catalog, data, {name.lower(): self.read(table, data.get(name.lower()))})
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete data that none of the last `keep` manifests names. Returns how many versions went."""
         last = self.latest()
-        used = {p for v in range(max(0, last - keep + 1), last + 1) if self._fs.exists(self._path(f"{self.root}/manifest/{v}.json")) for p in self.manifest(v)[1].values()}
+        used = {p for v in range(max(0, last - keep + 1), last + 1) if self._fs.exists(self._path(f"{self.root}/manifest/{v}.json")) for e in self.manifest(v)[1].values() for p in (e["base"], *e["deltas"])}
         gone = 0
         top = self._path(f"{self.root}/data")
         for table in self._fs.listStatus(top) if self._fs.exists(top) else []:

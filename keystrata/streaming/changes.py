@@ -27,9 +27,7 @@ def follow(stream: DataFrame, table: str, engine, checkpoint: str):
 
     def each(batch: DataFrame, _: int) -> None:
         s = engine.session()
-        s.begin()
-        s._stage(table, apply_batch(s.table(table), batch, key))
-        s.commit()
+        s.apply_changes(table, latest(batch, key))
         s.close()
 
     writer: Callable = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -116,6 +116,7 @@ def test_restart(spark, session, engine):
 
     again = Engine(spark, engine.storage.root).session()
     assert again.one("SELECT COUNT(*) AS n FROM t").n == 2
+    engine.storage.compact("t")
     assert engine.storage.vacuum() >= 1 and again.one("SELECT COUNT(*) AS n FROM t").n == 2
 
 
@@ -213,3 +214,34 @@ def test_streaming(spark, engine, tmp_path):
     spark.createDataFrame([(1, "a", 1, "P"), (2, "b", 2, "P"), (1, "c", 3, "P"), (2, None, 4, "D")], "k int, v string, xid long, op string").coalesce(1).write.parquet(src)
     follow(spark.readStream.schema("k int, v string, xid long, op string").parquet(src), "t", engine, str(tmp_path / "cp")).awaitTermination(60)
     assert rows(s.query("SELECT k, v FROM t")) == [(1, "c")]
+
+
+def test_a_commit_writes_what_it_changes(spark, engine, monkeypatch):
+    from keystrata.sources import storage
+
+    monkeypatch.setattr(storage, "MOST_DELTAS", 3)
+    s = engine.session()
+    s.execute("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    s.insert_frame("t", spark.range(1000).selectExpr("cast(id as int) id", "cast(id as int) v"))
+    engine.storage.compact("t")
+    entry = lambda: engine.storage.manifest(engine.storage.latest())[1]["t"]
+    base = entry()["base"]
+    s.begin()
+    s.execute("UPDATE t SET v = v + 1 WHERE id = 5")
+    s.execute("UPDATE t SET v = v + 1 WHERE id = 5")
+    s.execute("DELETE FROM t WHERE id = 6")
+    s.execute("INSERT INTO t VALUES (2000, 1)")
+    s.execute("DELETE FROM t WHERE id = 2000")
+    s.commit()
+    assert entry()["base"] == base and len(entry()["deltas"]) == 1
+    assert spark.read.parquet(f"{engine.storage.root}/{entry()['deltas'][0]}").count() == 3
+    for v in (8, 9):
+        s.execute("UPDATE t SET v = ? WHERE id = 7", (v,))
+    assert len(entry()["deltas"]) == 1  # merged
+    want = [(i, {5: 7, 7: 9}.get(i, i)) for i in range(1000) if i != 6]
+    assert sorted(map(tuple, s.query("SELECT id, v FROM t").collect())) == want
+    s.execute("INSERT INTO t VALUES (6, 60)")
+    engine.storage.compact("t")
+    assert entry()["deltas"] == [] and s.query("SELECT v FROM t WHERE id = 6").first().v == 60
+    plan = s.query("SELECT v FROM t WHERE id = 5")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,5)" in plan
