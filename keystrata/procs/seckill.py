@@ -9,6 +9,7 @@ from keystrata.plans.engine import Session
 from keystrata.procs.tpcc import positive
 
 NAME = "seckill"
+#: Table schemas. Fixed values.
 DDL = """
 CREATE TABLE seckill_item (si_id INTEGER PRIMARY KEY, si_name TEXT, si_stock INTEGER, si_sold INTEGER, si_price INTEGER);
 CREATE TABLE seckill_order (so_item_id INTEGER NOT NULL, so_id INTEGER NOT NULL, so_user_id INTEGER, so_amount INTEGER, so_payload TEXT, PRIMARY KEY (so_item_id, so_id));

@@ -12,6 +12,7 @@ from keystrata.functions.types import EngineError
 from keystrata.plans.engine import Session
 
 NAME = "vote"
+#: Table schemas. Fixed values.
 DDL = """
 CREATE TABLE vote_users (user_id TEXT PRIMARY KEY, phone TEXT);
 CREATE TABLE votes (vote_id TEXT PRIMARY KEY, creator_id TEXT, topic TEXT NOT NULL, vote_type TEXT, max_choices INTEGER, end_time INTEGER NOT NULL, visibility_rule TEXT);
