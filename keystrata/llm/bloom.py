@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import partitions
+from keystrata.llm.common import apart, partitions
 
 BLOCK_BITS = 1 << 19
 MOST_BLOCKS = 128
@@ -85,5 +85,5 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
             yield pa.RecordBatch.from_arrays(columns, names=fields.fieldNames())
 
     marked = hashed.mapInArrow(mark, fields)
-    some = marked.where("_may").join(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")), F.col(id_col) == F.col("_id"), "left_anti")
+    some = marked.where("_may").join(apart(ids.select(F.col(ids.columns[0]).cast("long").alias("_id"))), F.col(id_col) == F.col("_id"), "left_anti")
     return marked.where("not _may").unionByName(some).drop("_may")

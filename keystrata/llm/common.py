@@ -68,6 +68,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: it is shuffled, never broadcast, whatever its estimated size."""
+    return df.hint("merge")
+
+
 def crc_of(column: str) -> Column:
     """crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
@@ -136,8 +141,8 @@ def smallest_of_group(df: DataFrame, key: list[str], id_col: str, salts: int) ->
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
     part = salted.groupBy(*key, "_salt").agg(F.min(id_col).alias("_low"), F.count(F.lit(1)).alias("_n"))
     whole = part.groupBy(*key).agg(F.min("_low").alias("keep_id"), F.sum("_n").alias("group_size"))
-    back = part.select(*key, "_salt").join(whole, key)
-    return salted.join(back, [*key, "_salt"]).drop("_salt")
+    back = part.select(*key, "_salt").join(apart(whole), key)
+    return salted.join(apart(back), [*key, "_salt"]).drop("_salt")
 
 
 def give_back() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import cut
+from keystrata.llm.common import apart, cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,13 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         parents = cut(hook, "hooks")
         for _ in range(2):
             above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parents = parents.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+            parents = parents.join(apart(above), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
         parents = cut(parents, "parents")
         hop = parents.select(F.col("node").alias("component"), "up")
-        labels = cut(labels.join(hop, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        labels = cut(labels.join(apart(hop), "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         a = parents.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         b = parents.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
         x, y = F.coalesce("a_up", "a"), F.coalesce("b_up", "b")
-        edges = cut(edges.join(a, "a", "left").join(b, "b", "left").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "links")
+        edges = cut(edges.join(apart(a), "a", "left").join(apart(b), "b", "left").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "links")
         if edges.isEmpty():
             return labels

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import bloom
-from keystrata.llm.common import SPACES, cut, partitions, ship
+from keystrata.llm.common import SPACES, apart, cut, partitions, ship
 
 #: Digest rows that a memtable holds before it is flushed.
 MEMTABLE = 500_000
@@ -173,7 +173,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flushed = cut(flush_runs(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha")), shards, memtable, digest_bytes), "runs")
     answers = cut(compact(flushed.where("block is not null"), shards), "index").where("run >= 0").select("run", "hi", "lo", "keep_id", "group_size")
     rows = flushed.where("block is null").select("doc_id", "sha", "run", "hi", "lo")
-    found = rows.join(answers, ["run", "hi", "lo"], "left")
+    found = rows.join(apart(answers), ["run", "hi", "lo"], "left")
     hits = found.where("group_size > 1 and doc_id is not null").select("doc_id", "keep_id", "group_size")
 
     differ = _different(texts, hits)
@@ -197,12 +197,12 @@ def _different(texts: DataFrame, hits: DataFrame) -> DataFrame:
                 yield b.select(["doc_id", "text"]).filter(pa.array(sieve.value.may_hold(b.column("h").to_numpy())))
 
     some = texts.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(pick, "doc_id long, text string")
-    known = some.join(keyed.drop("h").distinct(), "doc_id")
+    known = some.join(apart(keyed.drop("h").distinct()), "doc_id")
     # a large group's keeper is handed out under several salts, its copies each look under one
     salts = F.ceil(F.col("group_size") / 256).cast("int")
     keepers = known.where("doc_id = keep_id").select("keep_id", F.col("text").alias("keeper"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     others = known.where("doc_id != keep_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int"))
-    return others.join(keepers, ["keep_id", "salt"]).where(F.col("text") != F.col("keeper")).select("doc_id")
+    return others.join(apart(keepers), ["keep_id", "salt"]).where(F.col("text") != F.col("keeper")).select("doc_id")
 
 
 def _by_text(texts: DataFrame) -> DataFrame:

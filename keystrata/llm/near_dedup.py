@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import bloom
-from keystrata.llm.common import MIX_A, MIX_B, ascii_words, cut, give_back, partitions, ship, smallest_of_group, text_slices, word_hashes
+from keystrata.llm.common import MIX_A, MIX_B, apart, ascii_words, cut, give_back, partitions, ship, smallest_of_group, text_slices, word_hashes
 from keystrata.llm.components import components
 
 #: Chance that a pair just at the threshold shares no bucket.
@@ -216,7 +216,7 @@ def _compare(groups: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame
             rows.clear()
         give_back()
 
-    dealt = groups.join(signed, "rep").withColumn("g", F.xxhash64("bucket", "i", "j")).repartition(partitions(groups.sparkSession), "g").sortWithinPartitions("bucket", "i", "j")
+    dealt = groups.join(apart(signed), "rep").withColumn("g", F.xxhash64("bucket", "i", "j")).repartition(partitions(groups.sparkSession), "g").sortWithinPartitions("bucket", "i", "j")
     return dealt.select(*names).mapInArrow(work, "a long, b long").distinct()
 
 
@@ -231,7 +231,7 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
     count = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2"))
     once = count.groupBy("n", "m", "s1", "s2").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("long")
-    dealt = cut(members.join(once.select("bucket", blocks.alias("blocks")), "bucket"), "dealt")
+    dealt = cut(members.join(apart(once.select("bucket", blocks.alias("blocks"))), "bucket"), "dealt")
 
     def block(salt: int) -> Column:
         return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("blocks"))
@@ -243,7 +243,7 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
         return links
 
     lead = components(links).select(F.col("node").alias("rep"), "component")
-    known = cut(large.join(lead, "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")), "known")
+    known = cut(large.join(apart(lead), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")), "known")
     sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
     sizes = sizes.join(several, "bucket").withColumn("whole", (F.col("n") >= BLOCK) | (F.col("m") >= BLOCK_SHINGLES))
@@ -271,20 +271,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
     found = cut(set_digests(texts, k, float(share)), "digests")
     full = found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest")
     classed = cut(smallest_of_group(full, ["digest"], "doc_id", partitions(spark)).select("doc_id", "n_shingles", F.col("keep_id").alias("class_id")), "classes")
-    reps = found.join(classed.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = found.join(apart(classed.where("doc_id = class_id").select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     keyed = cut(reps.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("rep"), "n_shingles"), "bands")
     shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(keyed.join(shared, "bucket"), "members")
+    members = cut(keyed.join(apart(shared), "bucket"), "members")
     wanted = cut(members.select("rep").distinct().select("rep", F.xxhash64("rep").alias("h")), "wanted")
     sieve = spark.sparkContext.broadcast(bloom.build(wanted.select("h"), "h"))
     signed = _signed(texts.where("doc_id is not null"), sieve, k)
-    signed = cut(signed.join(wanted.select("rep"), "rep").dropDuplicates(["rep"]), "signed")
+    signed = cut(signed.join(apart(wanted.select("rep")), "rep").dropDuplicates(["rep"]), "signed")
     labels = components(cut(find_links(members, signed, share), "found"))
 
     lead = labels.select(F.col("node").alias("class_id"), F.col("component").alias("lead"))
     # few classes have links, but one class may hold a third of the rows: its documents meet the answer under salts
-    out = found.select("doc_id", "n_shingles").join(classed.select("doc_id", "class_id").distinct(), "doc_id", "left").join(_spread(lead, spark), [F.col("class_id") == F.col("of"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("salt")], "left")
+    out = found.select("doc_id", "n_shingles").join(apart(classed.select("doc_id", "class_id").distinct()), "doc_id", "left").join(apart(_spread(lead)), [F.col("class_id") == F.col("of"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("salt")], "left")
     lead_id = F.coalesce("lead", "class_id", "doc_id")
     return out.select("doc_id", "n_shingles", lead_id.alias("component_id"), F.col("doc_id").eqNullSafe(lead_id).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -293,5 +293,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
 SALTS = 16
 
 
-def _spread(lead: DataFrame, spark) -> DataFrame:
+def _spread(lead: DataFrame) -> DataFrame:
     return lead.select(F.col("class_id").alias("of"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

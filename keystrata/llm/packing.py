@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import cut, give_back, partitions, ship, text_slices
+from keystrata.llm.common import apart, cut, give_back, partitions, ship, text_slices
 from keystrata.llm.tokens import chunk_tokens, slices
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
@@ -114,13 +114,13 @@ def pack(pieces: DataFrame, capacity: int, most_sent: int = MOST_SENT) -> DataFr
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start")
-    ranked = pieces.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(bases, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
+    ranked = pieces.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(apart(bases), ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("base")).drop("base", "bucket")
 
     if len(placed) > most_sent:
         steps = spark.createDataFrame(pa.table(dict(zip(("length", "first", "n", "sequence", "at"), placed.T, strict=True))).to_pandas())
         span = F.lit(1 << 16)  # a placement is found by the blocks of ranks that it covers
         cover = steps.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / span), F.floor((F.col("first") + F.col("n") - 1) / span))))
-        found = ranked.withColumn("block", F.floor(F.col("rank") / span)).join(cover, ["length", "block"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+        found = ranked.withColumn("block", F.floor(F.col("rank") / span)).join(apart(cover), ["length", "block"]).where((F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
         return found.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).withColumn("offset", F.col("at")).drop("block", "first", "n", "sequence", "at", "rank")
 
     order = np.lexsort((placed[:, 1], placed[:, 0]))

@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     ship(docs.sparkSession)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Slots()
+        own = only("slots", Slots)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([_spread(terms(x, own)).tobytes() for x in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["doc_id", "slots", "label"])
 
