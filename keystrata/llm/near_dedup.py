@@ -245,11 +245,15 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
     lead = components(links).select(F.col("node").alias("rep"), "component")
     known = cut(large.join(apart(lead), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")), "known")
     sizes = known.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
-    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket")
-    sizes = sizes.join(several, "bucket").withColumn("whole", (F.col("n") >= BLOCK) | (F.col("m") >= BLOCK_SHINGLES))
-    sizes = sizes.withColumn("of", F.when(F.col("whole"), F.col("comp")).otherwise(-1))  # -1: mixed
-    parts = sizes.groupBy("bucket", "of").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("m") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    placed = known.join(sizes.select("bucket", "comp", "of"), ["bucket", "comp"]).join(parts, ["bucket", "of"]).withColumn("at", F.xxhash64("of", block(9)))
+    whole = (F.col("n") >= BLOCK) | (F.col("m") >= BLOCK_SHINGLES)
+    size = lambda c: F.sum(F.when(~whole, F.col(c)).otherwise(0))
+    need = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("long")
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), need(size("n"), size("m")).alias("mixed")).where("k > 1").select("bucket", "mixed")
+    own = sizes.where(whole).select("bucket", "comp", F.col("comp").alias("of"), need(F.col("n"), F.col("m")).alias("parts"))
+    # a bucket's and a component's facts are handed out under several salts, as one may hold most rows
+    under = lambda df: apart(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    placed = known.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(SALTS)).cast("int")).join(under(several), ["bucket", "salt"]).join(under(own), ["bucket", "comp", "salt"], "left")
+    placed = placed.withColumns({"of": F.coalesce("of", F.lit(-1).cast("long")), "blocks": F.coalesce("parts", "mixed")}).withColumn("at", F.xxhash64("of", block(9)))
     placed = cut(placed.select("bucket", "of", "at", "rep", "comp"), "placed")
     spots = cut(placed.select("bucket", "of", "at").distinct(), "spots")
     x, y = (spots.select("bucket", F.col("of").alias(f"of_{k}"), F.col("at").alias(k)) for k in "ij")
@@ -289,7 +293,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
     return out.select("doc_id", "n_shingles", lead_id.alias("component_id"), F.col("doc_id").eqNullSafe(lead_id).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-#: Under how many keys a class meets its answer.
+#: Under how many keys the rows of a large class, bucket or component meet what is known of it.
 SALTS = 16
 
 
