@@ -5,13 +5,17 @@ to one of BUCKETS slots. Besides a linear weight w, a slot has a vector v of FAC
 one window adds <v_a, v_b>, so that an insult and a group's mention together can weigh more than both alone. The sum over
 pairs costs no more than the terms: ((sum v)^2 - sum v^2) / 2.
 
-Linear weights are learnt with an L1 penalty (follow-the-regularised-leader), so that the terms of neutral prose get none;
-terms without a weight drop out of the machine, and scoring passes over them. Vectors are learnt for the terms that stay.
+Linear weights are learnt with an L1 penalty (follow-the-regularised-leader), so that the terms of neutral prose get none.
+Vectors are learnt for every term that is met often enough, whatever its linear weight, as a term that is neutral alone may
+weigh in a pair; a penalty of their own takes the vectors of terms without a weight that pair with nothing
+back to zero. Terms with neither
+weight nor vector drop out of the machine, and scoring passes over them.
 
 Long texts are taken in windows and the most toxic one decides, so a few sentences are not diluted by the rest.
 
 Learning takes at most `most` labelled rows (those with the smallest hashes of their id, so that it does not depend on
-how the table is split), which bounds the driver's memory; every row is scored. Score = sigmoid; labels, language,
+how the table is split), and all windows of each; the driver holds up to 16 bytes for each of their words and the model.
+Every row is scored. Score = sigmoid; labels, language,
 source and id are never features.
 
 Defined results: a null or empty text has no terms and gets the bias's score; no labelled rows give a model that scores
@@ -34,6 +38,8 @@ from keystrata.llm.common import crc_of, give_back, only, ship, text_slices
 BUCKETS, FACTORS, PREFIX = 1 << 20, 4, 4
 #: A term is learnt if that many texts of the sample have it. L1, L2 and the rate of the linear weights.
 LEAST_TEXTS, L1, L2, RATE = 2, 15.0, 1.0, 2.0
+#: The penalty on the vector's length of a term without a weight, and the sum of squares that its steps begin with (neutral terms move little).
+SHRINK, CALM = 0.4, 0.1
 #: Words of a window (windows overlap by half) and labelled rows to learn from.
 WINDOW, MOST = 256, 12_000
 #: Letters of any script part words from all else: ASCII non-letters are separators, A-Z become a-z.
@@ -63,7 +69,7 @@ class Slots(dict):
 
 
 class Live(Slots):
-    """As Slots, but with places in the list of slots that have a weight (from 1), 0 for those that have none."""
+    """As Slots, but with places in the list of slots that have a weight or a vector (from 1), 0 for those that have none."""
 
     def __init__(self, live: np.ndarray):
         super().__init__()
@@ -102,8 +108,8 @@ class Machine:
         self.bias, self.w, self.v, self.live = bias, w, v, live
 
     def compact(self) -> Machine:
-        """The same with the slots that have a weight only; place 0 has none."""
-        at = np.flatnonzero(self.w)
+        """The same with the slots that have a weight or a vector only; place 0 has none."""
+        at = np.flatnonzero((self.w != 0) | self.v.any(axis=1))
         return Machine(self.bias, np.r_[0.0, self.w[at]], np.vstack([np.zeros((1, FACTORS)), self.v[at]]), at)
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -152,11 +158,11 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5, epochs: int = 12, batch: i
     parts = [[x[common[x]] for x in p] for p in parts]
     whole = [[np.unique(np.concatenate(p))] for p in parts]
     z, n, bias_n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
-    g_v = np.full((BUCKETS, FACTORS), 1e-6)
+    g_v = np.full((BUCKETS, FACTORS), CALM)
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
-        if epoch == epochs // 2:  # from here on pairs of terms that have a weight count as well
-            kept = np.flatnonzero(w)
+        if epoch == epochs // 2:  # from here on pairs of terms count as well, those of terms without a weight too
+            kept = np.flatnonzero(common)
             v[kept] = rng.normal(0, 0.05, (len(kept), FACTORS))
         order = rng.permutation(len(rows))
         for start in range(0, len(order), batch):
@@ -186,11 +192,13 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5, epochs: int = 12, batch: i
                 total = np.repeat(np.add.reduceat(vx, np.r_[0, np.cumsum(size)[:-1]], axis=0), size, axis=0)
                 dv = e[:, None] * (total - vx)
                 dv = np.stack([np.bincount(back, dv[:, f], len(slots)) for f in range(FACTORS)], axis=1) + 0.01 * v[slots]
-                live = w[slots] != 0
-                slots, dv = slots[live], dv[live]
                 g_v[slots] += dv**2
-                v[slots] -= rate * dv / np.sqrt(g_v[slots])
-    v[w == 0] = 0.0
+                step = rate / np.sqrt(g_v[slots])
+                moved = v[slots] - step * dv
+                long = np.sqrt((moved**2).sum(axis=1, keepdims=True))
+                less = np.maximum(0.0, 1 - SHRINK * step.mean(axis=1, keepdims=True) / np.maximum(long, 1e-12))
+                v[slots] = np.where(w[slots, None] != 0, moved, moved * less)  # terms with a weight stay anyway
+    v[(g_v == CALM).all(axis=1)] = 0.0  # in no window that was learnt from: still what chance gave
     return machine
 
 
@@ -211,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = only("slots", Slots)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([_spread(terms(x, own)).tobytes() for x in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["doc_id", "slots", "label"])
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([terms(x, own).tobytes() for x in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["doc_id", "slots", "label"])
 
     rows = labelled(docs, labels, label_col, most, id_col, text_col).mapInArrow(hashed, "doc_id long, slots binary, label int").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -219,18 +227,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
     return fit([(slots[i], label[i]) for i in order])
 
 
-#: Of a text longer than this many words, learning takes that many, spread evenly in stretches of WINDOW over the whole
-#: text (scoring always takes all).
-LEARNT = 2048
-
-
-def _spread(slots: np.ndarray) -> np.ndarray:
-    if len(slots) <= LEARNT:
-        return slots
-    starts = np.linspace(0, len(slots) - WINDOW, LEARNT // WINDOW).astype(int)
-    return np.concatenate([slots[s : s + WINDOW] for s in starts])
-
-
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score."""
     spark = docs.sparkSession

@@ -65,6 +65,31 @@ def test_pairs_count(spark):
     assert np.abs(m.v).sum() > 0
 
 
+def test_pairs_of_terms_without_a_weight_count():
+    """Every term is as frequent in toxic as in clean texts, so that only pairs tell them apart; with the L1 of production."""
+    base = [("grp ins", 1), ("xx yy", 1), ("ins xx", 0), ("grp yy", 0)]
+    slots = T.Slots()
+    m = T.fit([(T.terms(f"{t} n{k % 3}", slots).tobytes(), y) for k in range(400) for t, y in base])
+    own = [T.slot_of(x, 1) for x in (b"grp", b"ins")]
+    assert m.v[own].any(axis=1).all() and np.isin(own, m.compact().live).all()
+    s = m.score([t for t, _ in base])
+    assert min(s[:2]) > 0.9 and max(s[2:]) < 0.1
+
+
+def test_learns_from_all_of_a_long_text(spark, docs_of):
+    """The one toxic sentence of a text of 20,000 words, wherever it stands, is what makes it toxic."""
+    r = random.Random(7)
+    docs, labels = [], []
+    for i in range(240):
+        w = [r.choice(VOCAB) for _ in range(20_000 if i % 4 == 0 else 40)]
+        if i % 4 == 0:
+            w[1000:1001] = ["zibble"] * 3
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    m = T.train(docs_of(docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert m.w[T.slot_of(b"zibble", 1)] > 0
+
+
 def test_logits_are_the_sum_over_pairs():
     r = np.random.default_rng(0)
     m = T.Machine(0.3, r.normal(size=T.BUCKETS), r.normal(size=(T.BUCKETS, T.FACTORS)))
