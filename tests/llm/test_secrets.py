@@ -49,6 +49,24 @@ def test_assignments(text, want):
     assert [text[a:b] for a, _, b in S.literal_spans(text)] == want
 
 
+LONG = "Zx81kQpL9mN2vB7cR4" * 278  # 5,004 characters
+
+
+@pytest.mark.parametrize("form", ['private_key = "{}"', "private_key = '{}'", "private_key = `{}`", "private_key = {}", "run --auth-token {} now", 'run --auth-token "{}" now', "<password>{}</password>", 'k = "{}"\napi_token = k'])
+def test_long_values_are_whole(form):
+    text = form.format(LONG)
+    assert [text[a:b] for a, _, b in S.literal_spans(text)] == [LONG]
+
+
+@pytest.mark.parametrize("text", ["private_key" + " " * 20 + "= 'Zx81kQpL9mN2vB7c'", "private_key =" + " " * 20 + "'Zx81kQpL9mN2vB7c'", "private_key = 'Zx81kQpL'" + " " * 20 + "+" + " " * 20 + "'9mN2vB7c'", " " * 20 + "[auth]\nkey = Zx81kQpL9mN2vB7c"])
+def test_any_number_of_blanks(text):
+    assert "".join(text[a:b] for a, _, b in S.literal_spans(text)) == "Zx81kQpL9mN2vB7c"
+
+
+def test_many_signs_in_one_run_take_linear_time():
+    assert S.literal_spans("a=" * 200_000) == []
+
+
 def test_documents(docs_of):
     got = {r.doc_id: r for r in S.scan_documents(docs_of(CASES, clash=["spans", "n_hex"])).collect()}
     assert len(got) == len(CASES)
