@@ -6,7 +6,8 @@ have each capacity) finds it in log2(capacity) steps. Overlong documents are spl
 that are not full enough wait: their pieces are packed again with the next window; only a task's last window closes all.
 
 A packed sequence is a row of the id matrix (padded on writing), its cumulative segment lengths, and position numbers
-that start anew at each segment.
+that start anew at each segment. The files of the matrices are written by the task that packs, a few rows at a time, and
+the digests that come out are taken from what is read back from them.
 
 Defined results: a null or empty text is one piece holding the closing id; rows that repeat a doc_id are documents of
 their own; no rows give no rows; other columns are not read.
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm.common import ship
-from keystrata.llm.ngram_lm import store
+from keystrata.llm.ngram_lm import _local, store
 from keystrata.llm.tokens import chunk_tokens, slices
 
 #: Tokens that a task packs at a time, and how full a sequence must be to be closed before the last window.
 WINDOW_TOKENS, FULL = 4_000_000, 0.99
+#: Packed sequences of a file of the registered query.
+FILE_ROWS = 256
 
 
 class CapacityTree:
@@ -78,11 +81,50 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return sequences
 
 
+def _store_rows(some: pa.RecordBatch, name: str, capacity: int, pad_id: int) -> None:
+    """The files of one batch of packed sequences."""
+    for column, ext, pad in (("input_ids", "ids", pad_id), ("position_ids", "positions", 0)):
+        matrix = np.full((some.num_rows, capacity), pad, dtype="<u4")
+        for i, data in enumerate(some.column(column).to_pylist()):
+            matrix[i, : len(data) // 4] = np.frombuffer(data, dtype="<u4")
+        store(f"{name}.{ext}", matrix.tobytes())
+    store(f"{name}.cu", np.concatenate([np.array([*x, -1], dtype="<i4") for x in some.column("cu_seqlens").to_pylist()]).tobytes())
+
+
+def _read(uri: str, dtype: str) -> np.ndarray:
+    """A file of the shared folder, whole."""
+    path = _local(uri)
+    if path:
+        return np.fromfile(path, dtype)
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(inner) as f:
+        return np.frombuffer(f.read(), dtype)
+
+
+def _written(some: pa.RecordBatch, name: str, capacity: int, pad_id: int) -> pa.RecordBatch:
+    """Store packed sequences and give back their rows without the matrices: n_tokens, cu_seqlens and the digests are
+    those of the files, read back."""
+    _store_rows(some, name, capacity, pad_id)
+    flat = _read(f"{name}.cu", "<i4")
+    ends = np.flatnonzero(flat == -1)
+    cu = [flat[lo:hi].tolist() for lo, hi in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)]
+    n_tokens = [x[-1] for x in cu]
+    crcs = []
+    for ext in ("ids", "positions"):
+        matrix = _read(f"{name}.{ext}", "<u4").reshape(some.num_rows, capacity)
+        crcs.append([zlib.crc32(row[:k].tobytes()) for row, k in zip(matrix, n_tokens, strict=True)])
+    columns = [some.column("sequence_id"), pa.array(n_tokens, pa.int64()), some.column("doc_ids"), some.column("starts"), pa.array(cu, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in crcs)]
+    return pa.RecordBatch.from_arrays(columns, names=some.schema.names[:7])
+
+
 ROW = "sequence_id long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
 
 
-def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing_id: int = 2, id_col: str = "doc_id", text_col: str = "text", matrices: bool = False, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
-    """One row for each packed sequence; with matrices also its ids and positions (unsigned 32-bit, little-endian)."""
+def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing_id: int = 2, id_col: str = "doc_id", text_col: str = "text", matrices: bool = False, window_tokens: int = WINDOW_TOKENS, uri: str | None = None, pad_id: int = 0) -> DataFrame:
+    """One row for each packed sequence; with matrices also its ids and positions (unsigned 32-bit, little-endian). With a
+    uri these are written under it, as write_matrices does, FILE_ROWS rows a file, and are not in the rows."""
     close = np.array([closing_id], dtype="<u4").tobytes()
     ship(docs.sparkSession)
 
@@ -90,12 +132,13 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing
         from pyspark import TaskContext
 
         tokens = chunk_tokens(tokenizer)
-        number = TaskContext.get().partitionId() << 33
+        part, files = TaskContext.get().partitionId(), 0
+        number = part << 33
         held: list[tuple[int | None, int, bytes]] = []
         size = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size, number
+            nonlocal held, size, number, files
             lengths = [len(p[2]) // 4 for p in held]
             rows: list[list] = [[] for _ in range(9)]
             wait = []
@@ -113,14 +156,20 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing
             held, size = wait, sum(len(p[2]) // 4 for p in wait)
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             names = ["sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "ids_crc32", "positions_crc32", "input_ids", "position_ids"]
+            if uri:
+                for at in range(0, len(rows[0]), FILE_ROWS):
+                    some = pa.RecordBatch.from_arrays([pa.array(x[at : at + FILE_ROWS], k) for x, k in zip(rows, kinds, strict=True)], names=names)
+                    yield _written(some, f"{uri}/{part:06d}-{files:06d}", capacity, pad_id)
+                    files += 1
+                return
             many = 9 if matrices else 7
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows[:many], kinds[:many], strict=True)], names=names[:many])
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            for first, part in slices(texts, [len(x) for x in texts], 8_000_000):
-                for i, data in enumerate(tokens.encode(part), first):
+            for first, some in slices(texts, [len(x) for x in texts], 8_000_000):
+                for i, data in enumerate(tokens.encode(some), first):
                     data += close
                     for start in range(0, len(data), 4 * capacity):
                         held.append((doc_ids[i], start // 4, data[start : start + 4 * capacity]))
@@ -149,12 +198,7 @@ def write_matrices(packed: DataFrame, uri: str, capacity: int = 4096, pad_id: in
                 some = batch.slice(at, rows)
                 name = f"{part:06d}-{n:06d}"
                 n += 1
-                for column, ext, pad in (("input_ids", "ids", pad_id), ("position_ids", "positions", 0)):
-                    matrix = np.full((some.num_rows, capacity), pad, dtype="<u4")
-                    for i, data in enumerate(some.column(column).to_pylist()):
-                        matrix[i, : len(data) // 4] = np.frombuffer(data, dtype="<u4")
-                    store(f"{uri}/{name}.{ext}", matrix.tobytes())
-                store(f"{uri}/{name}.cu", np.concatenate([np.array([*x, -1], dtype="<i4") for x in some.column("cu_seqlens").to_pylist()]).tobytes())
+                _store_rows(some, f"{uri}/{name}", capacity, pad_id)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([some.num_rows], pa.int64())], names=["name", "rows"])
 
     return packed.mapInArrow(work, "name string, rows long")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import best_fit, decontaminate, exact_dedup, near_dedup, ngram_lm, packing, secrets, sharding, token_counts, toxicity
-from keystrata.llm.common import cut, table
+from keystrata.llm.common import cut, fresh_path, table
 from keystrata.llm.tokens import vocabulary
 
 #: The tokenizer of the packing queries.
@@ -22,7 +22,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=4096, closing_id=2)
+    return best_fit.pack_best_fit(table(spark, sf_dir, "documents"), vocabulary(WORD_BPE), capacity=4096, closing_id=2, uri=fresh_path(spark, "matrices"))
 
 
 #: Words of a context plus one. A third word would make the counts outgrow the disk that a run may use (README).

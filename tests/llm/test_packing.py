@@ -134,6 +134,28 @@ def test_best_fit_documents(docs_of, window):
         assert sum((x for _, x in sorted(got[i])), []) == encode(t)
 
 
+def test_registered_query_writes_matrices(spark):
+    import os
+
+    from keystrata.llm.common import shared_root
+    from keystrata.llm.queries import op2_best_fit
+
+    top = f"{shared_root(spark).removeprefix('file://')}/keystrata"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    rows = op2_best_fit(spark, "/root/testdata/sf0.001").collect()
+    [new] = [x for x in set(os.listdir(top)) - before if x.startswith("matrices-")]
+    names = sorted(x.removesuffix(".ids") for x in os.listdir(f"{top}/{new}") if x.endswith(".ids"))
+    got = []
+    for name in names:
+        cu = np.fromfile(f"{top}/{new}/{name}.cu", "<i4")
+        ends = cu[np.flatnonzero(cu == -1) - 1]
+        pair = [np.fromfile(f"{top}/{new}/{name}.{ext}", "<u4").reshape(len(ends), 4096) for ext in ("ids", "positions")]
+        got += [(int(n), *(zlib.crc32(m[i, :n].tobytes()) for m in pair)) for i, n in enumerate(ends)]
+    assert rows and sorted(got) == sorted((r.n_tokens, r.ids_crc32, r.positions_crc32) for r in rows)
+    plain = best_fit.pack_best_fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PATH).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, plain), key=str)
+
+
 def test_matrices_round_trip(docs_of, tmp_path):
     packed = best_fit.pack_best_fit(docs_of(TEXTS), PATH, 32, matrices=True).cache()
     files = best_fit.write_matrices(packed, str(tmp_path / "m"), 32, pad_id=9, rows=5).collect()
