@@ -9,7 +9,8 @@ What is sent is bounded: at most MOST_WINDOWS (window, item) rows at a time. A l
 that size, the documents are scanned once for each block, and the hits of a document are merged.
 
 Defined results: null or empty texts and items have no words; other columns are not read; rows that repeat a doc_id
-with the same text share an answer; an empty benchmark hits nothing; items with a null item_id are left out.
+with the same text share an answer; an empty benchmark hits nothing; items with a null item_id hit words like any other,
+count together as one item, and have no place in items_sha256 (as in the SQL).
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def windows(bench: DataFrame, n: int, item_col: str, text_col: str) -> DataFrame
                     items, rows = [], []
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(rows, pa.binary())], names=["item", "window"])
 
-    source = bench.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
+    source = bench.select(F.col(item_col).cast("string"), F.col(text_col).cast("string"))
     return source.mapInArrow(work, "item string, window binary").distinct()
 
 
@@ -131,7 +132,7 @@ def _scan(docs: DataFrame, sent, only_hits: bool) -> DataFrame:
                     d = int(np.searchsorted(starts, lo, side="right")) - 1
                     stretches[d] += [lo - int(starts[d]), hi - int(starts[d])]
                 out = batch.slice(first, len(part))
-                columns = [*out.columns, pa.array([len(x) for x in split], pa.int64()), pa.array(stretches, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+                columns = [*out.columns, pa.array([len(x) for x in split], pa.int64()), pa.array(stretches, pa.list_(pa.int32())), pa.array([sorted(x, key=lambda i: (i is not None, i or "")) for x in items], pa.list_(pa.string()))]
                 done = pa.RecordBatch.from_arrays(columns, names=[*out.schema.names, "n_words", "hits", "items"])
                 yield done.filter(pa.array([bool(x) for x in items])) if only_hits else done
 

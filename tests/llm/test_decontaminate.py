@@ -1,9 +1,13 @@
 import random
 import re
 
+import duckdb
 import pytest
 
 from keystrata.llm import decontaminate as D
+from keystrata.llm.queries import OP5_SQL
+
+from ..conftest import same_rows
 
 rng = random.Random(9)
 VOCAB = [f"t{i}" for i in range(60)] + ["Ünï", "日本"]
@@ -83,3 +87,16 @@ def test_spans_are_removed():
     text = "keep ONE, two; three keep"
     assert D.without_spans(text, [1, 4]) == "keep  keep"
     assert D.without_spans(text, []) == text and D.without_spans("a", [0, 1]) == ""
+
+
+@pytest.mark.parametrize("most", [D.MOST_WINDOWS, 3])
+def test_items_without_an_id_hit_words(spark, docs_of, most):
+    """As the SQL has it: null ids count together as one item, and are not in the list."""
+    one, two = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, one), (None, two), (7, "x1 x2 x3")], "item_id long, text string")
+    docs = docs_of([one, f"a {one} b {two} c", f"{two} x1 x2 x3", "nothing here"])
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    con.register("benchmark", bench.toArrow())
+    same_rows(D.report(D.scan(docs, bench, most_windows=most)), con, OP5_SQL)
+    assert [r.text for r in D.without_contaminated(docs, bench).collect()] == ["nothing here"]
