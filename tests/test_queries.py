@@ -16,6 +16,13 @@ def test_object_read(spark):
     assert (row["size"], row.magic) == (len(data), "PAR1")
 
 
+def test_kv_store_holds_all_events(spark):
+    from keystrata.queries import _events_kv
+
+    sf = "/root/testdata/sf0.01"
+    assert _events_kv(spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count() > 3000
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
