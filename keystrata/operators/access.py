@@ -87,3 +87,9 @@ def first(df: DataFrame, key: list[str]) -> DataFrame:
 
 def last(df: DataFrame, key: list[str]) -> DataFrame:
     return df.agg(F.max_by(F.struct(*df.columns), F.struct(*key)).alias("_r")).where("_r is not null").select("_r.*")
+
+
+def ends(df: DataFrame, key: list[str]) -> DataFrame:
+    """The rows with the smallest and with the largest key (structs first and last), in one pass; no rows for no rows."""
+    row, by = F.struct(*df.columns), F.struct(*key)
+    return df.agg(F.min_by(row, by).alias("first"), F.max_by(row, by).alias("last")).where("first is not null")
