@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.functions.types import EngineError
+from keystrata.functions.types import EngineError, half_even
 
 
 @dataclass(frozen=True)
@@ -93,11 +93,23 @@ def update_many(base: DataFrame, changes: DataFrame, key: tuple[str, ...]) -> Da
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).cast(base.schema[c].dataType).alias(c) if c in sets else F.col(c) for c in base.columns])
 
 
+def not_null(c: Column, column: str) -> Column:
+    """The column; where a row with NULL is incremented, an error (as Delta.apply has it)."""
+    return F.when(c.isNull(), F.raise_error(F.lit(f"increment of NULL in {column}"))).otherwise(c)
+
+
 def fold_deltas(base: DataFrame, deltas: DataFrame, key: tuple[str, ...], column: str, amount: str = "amount") -> DataFrame:
-    """Commutative increments (key, amount; negative to subtract), in any order: summed by key, then one join."""
-    total = deltas.groupBy(*key).agg(F.sum(F.col(amount).cast("decimal(30,6)" if isinstance(base.schema[column].dataType, T.DecimalType) else "decimal(38,0)")).alias("_sum"))
-    kind = base.schema[column].dataType
-    return base.join(total, list(key), "left").withColumn(column, F.when(F.col("_sum").isNull(), F.col(column)).otherwise((F.col(column) + F.col("_sum")).cast(kind))).select(*base.columns)
+    """Commutative increments (key, amount; negative to subtract), in any order: summed by key, then one join.
+
+    Each amount is first rounded to the column's own scale, half to even, as a single increment is."""
+    kind, of = base.schema[column].dataType, deltas.schema[amount].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else 0
+    exact = isinstance(of, T.IntegralType) or isinstance(of, T.DecimalType) and of.scale <= scale
+    one = F.col(amount).cast(f"decimal(37,{scale})") if exact else half_even(F.col(amount), 37, scale)
+    wide = f"decimal(37,{scale})"  # two of them add up without losing places
+    total = deltas.groupBy(*key).agg(F.sum(one).cast(wide).alias("_sum"))
+    after = (not_null(F.col(column), column).cast(wide) + F.col("_sum")).cast(kind)
+    return base.join(total, list(key), "left").withColumn(column, F.when(F.col("_sum").isNull(), F.col(column)).otherwise(after)).select(*base.columns)
 
 
 def sub_wrap(c: Column, amount: Column, floor: int, wrap: int) -> Column:
@@ -107,19 +119,23 @@ def sub_wrap(c: Column, amount: Column, floor: int, wrap: int) -> Column:
 
 def fold_sub_wrap(base: DataFrame, deltas: DataFrame, key: tuple[str, ...], column: str, floor: int, wrap: int, amount: str = "amount", order: str | None = None) -> DataFrame:
     """Many wrapping subtractions at once. Within floor <= value < floor + wrap and 0 <= amount <= wrap they commute and
-    fold to ((value - floor - sum) mod wrap) + floor; outside that the amounts are applied one by one, ordered by `order`."""
+    fold to ((value - floor - sum) mod wrap) + floor; outside that the amounts are applied one by one, ordered by `order`.
+
+    Amounts are gathered only for the keys that are outside; all others send sums."""
     if wrap <= floor:
         raise EngineError("invalid_argument", "sub_wrap needs wrap > floor")
-    item = F.struct(F.col(order) if order else F.lit(0).alias("_o"), F.col(amount).cast("bigint").alias("_a"))
-    grouped = deltas.groupBy(*key).agg(
-        F.sum(F.col(amount).cast("bigint")).alias("_sum"), F.min(amount).alias("_low"), F.max(amount).alias("_high"), F.sort_array(F.collect_list(item)).alias("_all")
-    )
+    one = F.col(amount).cast("bigint")
+    grouped = deltas.groupBy(*key).agg(F.sum(one).alias("_sum"), F.min(one).alias("_low"), F.max(one).alias("_high"))
+    joined = base.join(grouped, list(key), "left")
     c = F.col(column).cast("bigint")
+    inside = (c >= floor) & (c < floor + wrap) & (F.col("_low") >= 0) & (F.col("_high") <= wrap)
+    odd = joined.where(F.col("_sum").isNotNull() & c.isNotNull() & ~inside).select(*key)
+    item = F.struct(F.col(order) if order else F.lit(0).alias("_o"), one.alias("_a"))
+    stepwise = deltas.join(odd, list(key), "left_semi").groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("_all"))
     folded = F.pmod(c - floor - F.col("_sum"), F.lit(wrap)) + floor
     stepped = F.aggregate("_all", c, lambda acc, x: sub_wrap(acc, x["_a"], floor, wrap))
-    inside = (c >= floor) & (c < floor + wrap) & (F.col("_low") >= 0) & (F.col("_high") <= wrap)
-    value = F.when(F.col("_sum").isNull(), c).when(inside, folded).otherwise(stepped)
-    return base.join(grouped, list(key), "left").withColumn(column, value.cast(base.schema[column].dataType)).select(*base.columns)
+    value = F.when(F.col("_sum").isNull(), c).when(inside, folded).when(not_null(F.col(column), column).isNotNull(), stepped)
+    return joined.join(stepwise, list(key), "left").withColumn(column, value.cast(base.schema[column].dataType)).select(*base.columns)
 
 
 def delete(base: DataFrame, key: dict[str, Any]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.operators.dml import Delta
+from keystrata.operators.ranks import numbered
 from keystrata.plans.engine import Session
 from keystrata.procs.tpcc import positive
 
@@ -25,18 +27,17 @@ def seed(s: Session, items: int, initial_stock: int) -> None:
 def buy(s: Session, item: int, order: int, user: int, amount: int, payload: str) -> str:
     """ "ok", or "sold_out" with nothing changed."""
     positive(item=item, order=order, user=user, amount=amount)
-    row = s.one("SELECT si_stock FROM seckill_item WHERE si_id = ?", (item,))
-    if row is None or row.si_stock <= 0:
+    row = s.relation_get("seckill_item", {"si_id": item}, ["si_stock"])
+    if row is None or (row.si_stock or 0) <= 0:
         return "sold_out"
-    s.execute("UPDATE seckill_item SET si_stock = si_stock - 1, si_sold = si_sold + 1 WHERE si_id = ?", (item,))
-    s.execute("INSERT INTO seckill_order (so_item_id, so_id, so_user_id, so_amount, so_payload) VALUES (?, ?, ?, ?, ?)", (item, order, user, amount, payload))
+    s.relation_update("seckill_item", {"si_id": item}, deltas=[Delta("si_stock", "sub", 1), Delta("si_sold", "add", 1)])
+    s.relation_insert("seckill_order", {"so_item_id": item, "so_id": order, "so_user_id": user, "so_amount": amount, "so_payload": payload})
     return "ok"
 
 
 def buy_set(items: DataFrame, requests: DataFrame) -> DataFrame:
     """Many requests (si_id, xid) at once: the first si_stock of each item, by xid, get "ok"."""
-    rank = F.row_number().over(Window.partitionBy("si_id").orderBy("xid"))
-    asked = requests.withColumn("_n", rank).join(items.select("si_id", "si_stock"), "si_id", "left")
+    asked = numbered(requests, ["si_id"], "xid", "_n").join(items.select("si_id", "si_stock"), "si_id", "left")
     return asked.withColumn("result", F.when(F.col("_n") <= F.col("si_stock"), "ok").otherwise("sold_out")).drop("_n", "si_stock")
 
 

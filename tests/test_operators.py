@@ -68,6 +68,34 @@ def test_fold_is_the_same_as_one_by_one(spark, deltas, start):
     assert dict(rows(dml.fold_deltas(base, plus, ("id",), "q"))) == {k: s + sum(a for i, a in deltas if i == k) for k, s in enumerate(start, 1)}
 
 
+def test_folds_keep_scale_and_refuse_null(spark):
+    from decimal import Decimal
+
+    base = spark.createDataFrame([(1, Decimal("1.00000000")), (2, None)], "id int, q decimal(20,8)")
+    df = spark.createDataFrame([(1, Decimal("0.00000001")), (1, Decimal("0.00000002"))], "id int, amount decimal(20,8)")
+    assert rows(dml.fold_deltas(base, df, ("id",), "q")) == [(1, Decimal("1.00000003")), (2, None)]
+    with pytest.raises(Exception, match="increment of NULL"):
+        dml.fold_deltas(base, spark.createDataFrame([(2, Decimal(1))], "id int, amount decimal(20,8)"), ("id",), "q").collect()
+    whole = spark.createDataFrame([(1, 500), (2, None), (3, 20)], "id int, q int")
+    with pytest.raises(Exception, match="increment of NULL"):
+        dml.fold_sub_wrap(whole, spark.createDataFrame([(2, 1)], "id int, amount int"), ("id",), "q", 10, 91).collect()
+    mixed = spark.createDataFrame([(1, 450, 1), (1, 45, 2), (3, 15, 1)], "id int, amount int, n int")
+    assert rows(dml.fold_sub_wrap(whole, mixed, ("id",), "q", 10, 91, order="n")) == [(1, 96), (2, None), (3, 96)]
+
+
+def test_numbers_inside_a_hot_key(spark):
+    from keystrata.operators.ranks import numbered
+
+    data = [(1 if i % 2 else i % 7, i * 37 % 1009) for i in range(600)] + [(None, 5)]
+    want, seen = {}, {}
+    for k, x in sorted(data, key=lambda r: r[1]):
+        seen[k] = seen.get(k, 0) + 1
+        want[k, x] = seen[k]
+    got = numbered(spark.createDataFrame(data, "k int, x int").repartition(5), ["k"], "x", "n").collect()
+    assert {(r.k, r.x): r.n for r in got} == want and len(got) == len(data)
+    assert numbered(spark.createDataFrame([], "k int, x int"), ["k"], "x", "n").count() == 0
+
+
 def test_versions(spark):
     log = spark.createDataFrame([(1, 1, "P", "a"), (1, 3, "P", "b"), (2, 2, "P", "c"), (2, 4, "D", None)], "k int, xid int, op string, v string")
     assert rows(versions.visible(log, ("k",), 2)) == [(1, "a"), (2, "c")]
