@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import ship
-from keystrata.llm.ngram_lm import _local, store
+from keystrata.llm.common import read_file, ship, store
 from keystrata.llm.tokens import chunk_tokens, slices
 
 #: Tokens that a task packs at a time, and how full a sequence must be to be closed before the last window.
@@ -91,29 +90,17 @@ def _store_rows(some: pa.RecordBatch, name: str, capacity: int, pad_id: int) ->
     store(f"{name}.cu", np.concatenate([np.array([*x, -1], dtype="<i4") for x in some.column("cu_seqlens").to_pylist()]).tobytes())
 
 
-def _read(uri: str, dtype: str) -> np.ndarray:
-    """A file of the shared folder, whole."""
-    path = _local(uri)
-    if path:
-        return np.fromfile(path, dtype)
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(inner) as f:
-        return np.frombuffer(f.read(), dtype)
-
-
 def _written(some: pa.RecordBatch, name: str, capacity: int, pad_id: int) -> pa.RecordBatch:
     """Store packed sequences and give back their rows without the matrices: n_tokens, cu_seqlens and the digests are
     those of the files, read back."""
     _store_rows(some, name, capacity, pad_id)
-    flat = _read(f"{name}.cu", "<i4")
+    flat = read_file(f"{name}.cu", "<i4")
     ends = np.flatnonzero(flat == -1)
     cu = [flat[lo:hi].tolist() for lo, hi in zip(np.r_[0, ends[:-1] + 1], ends, strict=True)]
     n_tokens = [x[-1] for x in cu]
     crcs = []
     for ext in ("ids", "positions"):
-        matrix = _read(f"{name}.{ext}", "<u4").reshape(some.num_rows, capacity)
+        matrix = read_file(f"{name}.{ext}", "<u4").reshape(some.num_rows, capacity)
         crcs.append([zlib.crc32(row[:k].tobytes()) for row, k in zip(matrix, n_tokens, strict=True)])
     columns = [some.column("sequence_id"), pa.array(n_tokens, pa.int64()), some.column("doc_ids"), some.column("starts"), pa.array(cu, pa.list_(pa.int32())), *(pa.array(x, pa.int64()) for x in crcs)]
     return pa.RecordBatch.from_arrays(columns, names=some.schema.names[:7])

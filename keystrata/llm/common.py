@@ -42,10 +42,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (tests) our own."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where that is unset (local mode, as in tests) our own."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_root:
         _own_root[app] = tempfile.mkdtemp(prefix="keystrata-shared-")
@@ -131,20 +133,32 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def smallest_of_group(df: DataFrame, key: list[str], id_col: str, salts: int) -> DataFrame:
-    """df with keep_id (the group's smallest id) and group_size.
+def salts(spark: SparkSession) -> int:
+    """Under how many keys the rows of a large group meet what is known of it."""
+    return max(16, partitions(spark))
+
+
+def least_of_group(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """df with least (a struct of the order columns: the group's smallest) and group_size.
 
     Two levels: each (key, salt) is reduced first and the answer comes back to it, so a group that holds a third of
-    all rows is spread over `salts` join keys. Give a df that is cheap to read twice. A null id never is the smallest
-    unless the group has no other.
+    all rows is spread over many join keys. Give a df that is cheap to read twice, and order columns without nulls.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
-    part = salted.groupBy(*key, "_salt").agg(F.min(id_col).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    whole = part.groupBy(*key).agg(F.min("_low").alias("keep_id"), F.sum("_n").alias("group_size"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts(df.sparkSession))))
+    part = salted.groupBy(*key, "_salt").agg(F.min(F.struct(*order)).alias("least"), F.count(F.lit(1)).alias("group_size"))
+    whole = part.groupBy(*key).agg(F.min("least").alias("least"), F.sum("group_size").alias("group_size"))
     back = part.select(*key, "_salt").join(apart(whole), key)
     return salted.join(apart(back), [*key, "_salt"]).drop("_salt")
 
 
+def hand_out(rows: DataFrame, by: str, key: list[str], facts: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the facts of their key (one row a key), where one key may hold most rows: facts first go to the (key, salt)
+    pairs that rows have, salts being hashes of the column `by`, and rows meet them there. rows is read twice."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts(rows.sparkSession))))
+    near = salted.select(*key, "_salt").distinct().join(apart(facts), key)
+    return salted.join(apart(near), [*key, "_salt"], how).drop("_salt")
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers live on between tasks, beside their executor's heap."""
     pa.default_memory_pool().release_unused()
@@ -158,3 +172,42 @@ def text_slices(batch: pa.RecordBatch, column: int = 1, rows: int = 500):
     for at in range(0, batch.num_rows, rows):
         part = batch.slice(at, rows)
         yield part, part.column(column).to_pylist()
+
+
+def local_path(uri: str) -> str | None:
+    """The path behind a URI that is mounted as files, else None."""
+    if uri.startswith("file:"):
+        return "/" + uri[5:].lstrip("/")
+    return None if "://" in uri else uri
+
+
+def store(uri: str, data: bytes) -> None:
+    """Write a file of the shared folder whole: a retried or doubled task leaves one copy."""
+    path = local_path(uri)
+    if path:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            f.write(data)
+        os.replace(part, path)
+        return
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    part = f"{inner}.{uuid.uuid4().hex}"
+    with system.open_output_stream(part) as f:
+        f.write(data)
+    system.move(part, inner)
+
+
+def read_file(uri: str, dtype: str) -> np.ndarray:
+    """A file of the shared folder, whole."""
+    path = local_path(uri)
+    if path:
+        return np.fromfile(path, dtype)
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(uri)
+    with system.open_input_stream(inner) as f:
+        return np.frombuffer(f.read(), dtype)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import apart, cut
+from keystrata.llm.common import apart, cut, hand_out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
             parents = parents.join(apart(above), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
         parents = cut(parents, "parents")
         hop = parents.select(F.col("node").alias("component"), "up")
-        labels = cut(labels.join(apart(hop), "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        labels = cut(hand_out(labels, "node", ["component"], hop, "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         a = parents.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         b = parents.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
         x, y = F.coalesce("a_up", "a"), F.coalesce("b_up", "b")

@@ -1,7 +1,7 @@
 """Operator 4: near-duplicates by b-bit MinHash.
 
-1. Documents to sets of hashed word shingles. Documents with equal sets form a class; its smallest id stands for it, so
-   a thousand copies cost one set.
+1. Documents to sets of hashed word shingles. Rows with equal sets form a class; the row with its smallest id stands for
+   it, so a thousand copies cost one set.
 2. Minima under `bands * rows` permutations give band keys; representatives that share a key share a bucket. Bands are
    chosen so that a pair at the threshold shares no bucket with a chance below MISS. Buckets with the same members
    (near copies meet in most bands) are kept once.
@@ -11,9 +11,14 @@
    out is a forest of links, not pairs. A large bucket is dealt into blocks (find_links), so no task holds a bucket.
 4. Links are confirmed on 64-bit sets, and components of links give the answer.
 
+Every row is a document of its own, numbered when its set is first written; classes, links and components are of these
+numbers, so rows that share a doc_id with different texts stay apart.
+
 Defined results: a text without words (null, empty, blank) has an empty set and is linked with nothing; with fewer words
-than a shingle takes, the whole sequence is one shingle; rows that repeat a doc_id with one text share an answer; a null
-doc_id is never linked; no rows give no rows; other columns are not read.
+than a shingle takes, the whole sequence is one shingle; component_id is the smallest doc_id reachable, null where no row
+has one (a null is larger than any id); kept says that a row's doc_id is its component_id, stays marks one row of each
+component (of several with the smallest id, the first); very long texts are taken whole; no rows give no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,14 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm import bloom
-from keystrata.llm.common import MIX_A, MIX_B, apart, ascii_words, cut, give_back, partitions, ship, smallest_of_group, text_slices, word_hashes
+from keystrata.llm import rowset
+from keystrata.llm.common import MIX_A, MIX_B, apart, ascii_words, cut, give_back, hand_out, least_of_group, partitions, ship, text_slices, word_hashes
 from keystrata.llm.components import components
 
 #: Chance that a pair just at the threshold shares no bucket.
 MISS = 1e-6
 #: Bytes of a signature (8 low bits each) and how many standard deviations below the threshold an estimate may fall.
 SIGNATURE, DEVIATIONS = 256, 5.5
+NO_ID = np.iinfo(np.int64).max
 #: Members and shingles of a block of a large bucket.
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
@@ -81,14 +87,11 @@ def bands_for(threshold: float) -> tuple[int, int]:
     return math.ceil(math.log(MISS) / math.log(1 - threshold**rows)), rows
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def set_digests(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), keys (of the bands; empty for empty sets)."""
+def set_digests(texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """texts (doc_id, text, file, row) to doc_id, file, row, n_shingles, digest (of the set), keys (of the bands; empty for
+    empty sets)."""
     bands, rows = bands_for(threshold)
-    schema = "doc_id long, n_shingles long, digest binary, keys array<long>"
+    schema = "doc_id long, file long, row long, n_shingles long, digest binary, keys array<long>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(bands * rows, 11)
@@ -111,33 +114,30 @@ def set_digests(docs: DataFrame, k: int, threshold: float) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.array([], dtype=np.int64)
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n_shingles", "digest", "keys"]
+                [*(batch.column(i) for i in (0, 2, 3)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                names=["doc_id", "file", "row", "n_shingles", "digest", "keys"],
             )
         give_back()
 
-    return docs.mapInArrow(work, schema)
+    return texts.mapInArrow(work, schema)
 
 
-def _signed(docs: DataFrame, sieve, k: int) -> DataFrame:
-    """Signature and sets of the documents that the filter lets through (h: xxhash64 of the id)."""
+def _signed(texts: DataFrame, k: int) -> DataFrame:
+    """Signature and sets of texts (file, text, row)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(SIGNATURE, 23)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch.filter(pa.array(sieve.value.may_hold(batch.column(2).to_numpy())))
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part, own in text_slices(batch):
                 signs, sets = [], []
-                for text in part.column(1).to_pylist():
+                for text in own:
                     s = shingles(ascii_words(text), k)
                     signs.append(perms.minima(s).astype(np.uint8).tobytes())
                     sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=["rep", "sign", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=["file", "row", "sign", "hashes"])
         give_back()
 
-    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(work, "rep long, sign binary, hashes binary")
+    return texts.mapInArrow(work, "file long, row long, sign binary, hashes binary")
 
 
 class Forest:
@@ -221,7 +221,7 @@ def _compare(groups: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame
 
 
 def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFrame:
-    """members (bucket, rep, n_shingles) and signed sets to confirmed links (a, b).
+    """members (bucket, rep, n_shingles; rep: a row's number) and signed sets to confirmed links (a, b).
 
     A small bucket is one group. A large one is first dealt into blocks by two different hashes, which takes two rows a
     member and joins nearly all that have links into components. Then only documents of different components are left to
@@ -231,7 +231,7 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
     count = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"), F.sum(F.shiftrightunsigned(F.xxhash64("rep"), 32)).alias("s1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("s2"))
     once = count.groupBy("n", "m", "s1", "s2").agg(F.min("bucket").alias("bucket"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / BLOCK_SHINGLES)).cast("long")
-    dealt = cut(members.join(apart(once.select("bucket", blocks.alias("blocks"))), "bucket"), "dealt")
+    dealt = cut(hand_out(members, "rep", ["bucket"], once.select("bucket", blocks.alias("blocks"))), "dealt")
 
     def block(salt: int) -> Column:
         return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col("blocks"))
@@ -250,9 +250,7 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
     need = lambda n, m: F.greatest(F.ceil(n / BLOCK), F.ceil(m / BLOCK_SHINGLES), F.lit(1)).cast("long")
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), need(size("n"), size("m")).alias("mixed")).where("k > 1").select("bucket", "mixed")
     own = sizes.where(whole).select("bucket", "comp", F.col("comp").alias("of"), need(F.col("n"), F.col("m")).alias("parts"))
-    # a bucket's and a component's facts are handed out under several salts, as one may hold most rows
-    under = lambda df: apart(df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    placed = known.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(13)), F.lit(SALTS)).cast("int")).join(under(several), ["bucket", "salt"]).join(under(own), ["bucket", "comp", "salt"], "left")
+    placed = hand_out(hand_out(known, "rep", ["bucket"], several), "rep", ["bucket", "comp"], own, "left")
     placed = placed.withColumns({"of": F.coalesce("of", F.lit(-1).cast("long")), "blocks": F.coalesce("parts", "mixed")}).withColumn("at", F.xxhash64("of", block(9)))
     placed = cut(placed.select("bucket", "of", "at", "rep", "comp"), "placed")
     spots = cut(placed.select("bucket", "of", "at").distinct(), "spots")
@@ -267,35 +265,41 @@ def find_links(members: DataFrame, signed: DataFrame, share: Fraction) -> DataFr
     return links.union(_compare(one.union(other), signed, share))
 
 
+#: A bucket with more than one in so many of all band rows is handed out apart; there are fewer such than that.
+LARGE = 1000
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set)."""
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, class_id (smallest id with the same set), stays,
+    and the file and row that tell it (see rowset; for a frame that is no scan of files, those of its written copy)."""
     spark = docs.sparkSession
     ship(spark)
-    texts = _sets(docs, id_col, text_col)
-    found = cut(set_digests(texts, k, float(share)), "digests")
-    full = found.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "digest")
-    classed = cut(smallest_of_group(full, ["digest"], "doc_id", partitions(spark)).select("doc_id", "n_shingles", F.col("keep_id").alias("class_id")), "classes")
-    reps = found.join(apart(classed.where("doc_id = class_id").select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    keyed = cut(reps.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("rep"), "n_shingles"), "bands")
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = cut(keyed.join(apart(shared), "bucket"), "members")
-    wanted = cut(members.select("rep").distinct().select("rep", F.xxhash64("rep").alias("h")), "wanted")
-    sieve = spark.sparkContext.broadcast(bloom.build(wanted.select("h"), "h"))
-    signed = _signed(texts.where("doc_id is not null"), sieve, k)
-    signed = cut(signed.join(apart(wanted.select("rep")), "rep").dropDuplicates(["rep"]), "signed")
+    docs = rowset.filed(docs)
+    text = F.col(text_col).cast("string").alias("text")
+    digests = set_digests(docs.select(F.col(id_col).cast("long").alias("doc_id"), text, *rowset.place(docs)), k, float(share))
+    found = cut(digests.withColumn("node", F.monotonically_increasing_id()), "digests")  # fixed once written
+    full = found.where("n_shingles > 0").select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "file", "row", "node", "n_shingles", "digest")
+    classed = least_of_group(full, ["digest"], ["id", "node"]).select(*full.columns[:-1], F.col("least.id").alias("class_id"), F.col("least.node").alias("class_node"))
+    classed = cut(classed, "classes")
+    reps = cut(classed.where("node = class_node").select("node", "id", "file", "row"), "representatives")
+
+    keyed = cut(found.join(apart(reps.select("node")), "node", "left_semi").select(F.explode("keys").alias("bucket"), F.col("node").alias("rep"), "n_shingles"), "bands")
+    shared = cut(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    most = -(-keyed.count() // LARGE)
+    hot = F.broadcast(shared.where(F.col("n") > most).select("bucket"))  # fewer than LARGE
+    members = cut(keyed.join(apart(shared.where(F.col("n") <= most).select("bucket")), "bucket").union(keyed.join(hot, "bucket")), "members")
+
+    wanted = cut(members.select(F.col("rep").alias("node")).distinct().join(apart(reps), "node").select(F.col("node").alias("rep"), "file", "row"), "wanted")
+    some = docs.where(rowset.build(wanted.select("file", "row")).member(docs))
+    file, row = rowset.place(some)
+    signed = cut(_signed(some.select(file, text, row), k).join(apart(wanted), ["file", "row"]).select("rep", "sign", "hashes"), "signed")
     labels = components(cut(find_links(members, signed, share), "found"))
 
-    lead = labels.select(F.col("node").alias("class_id"), F.col("component").alias("lead"))
-    # few classes have links, but one class may hold a third of the rows: its documents meet the answer under salts
-    out = found.select("doc_id", "n_shingles").join(apart(classed.select("doc_id", "class_id").distinct()), "doc_id", "left").join(apart(_spread(lead)), [F.col("class_id") == F.col("of"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) == F.col("salt")], "left")
-    lead_id = F.coalesce("lead", "class_id", "doc_id")
-    return out.select("doc_id", "n_shingles", lead_id.alias("component_id"), F.col("doc_id").eqNullSafe(lead_id).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-#: Under how many keys the rows of a large class, bucket or component meet what is known of it.
-SALTS = 16
-
-
-def _spread(lead: DataFrame) -> DataFrame:
-    return lead.select(F.col("class_id").alias("of"), "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # components are told by a row's number; what is reported is the smallest id
+    led = cut(labels.join(apart(reps.select("node", "id")), "node"), "led")
+    lead = least_of_group(led, ["component"], ["id", "node"]).select(F.col("node").alias("class_node"), F.col("least.id").alias("lead_id"), F.col("least.node").alias("lead_node"))
+    linked = hand_out(classed, "node", ["class_node"], lead, "left")
+    first_id, first = F.coalesce("lead_id", "class_id"), F.coalesce("lead_node", "class_node")
+    told = linked.select("doc_id", "n_shingles", F.nullif(first_id, F.lit(NO_ID)).alias("component_id"), F.nullif("class_id", F.lit(NO_ID)).alias("class_id"), (F.col("node") == first).alias("stays"), "file", "row")
+    empty = found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(True).alias("stays"), "file", "row")
+    return told.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -25,7 +25,6 @@ doc_id counts as the empty id when rows are held out; no training rows give a mo
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.common import MIX_A, ascii_words, crc_of, fresh_path, give_back, mix, partitions, ship, text_slices, word_hashes
+from keystrata.llm.common import MIX_A, ascii_words, crc_of, fresh_path, give_back, local_path, mix, partitions, ship, store, text_slices, word_hashes
 from keystrata.llm.tokens import slices
 
 #: Hashes of the end of a text and of the mark before its start (fixed values; a word's hash may equal them by chance only).
@@ -161,33 +160,6 @@ def count_blocks(texts: DataFrame, order: int, buckets: int) -> DataFrame:
     return texts.mapInArrow(work, ROW)
 
 
-def _local(uri: str) -> str | None:
-    """The path behind a URI that is mounted as files, else None."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return None if "://" in uri else uri
-
-
-def store(uri: str, data: bytes) -> None:
-    """Write a file of the shared folder whole: a retried or doubled task leaves one copy."""
-    path = _local(uri)
-    if path:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            f.write(data)
-        os.replace(part, path)
-        return
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(uri)
-    system.create_dir(os.path.dirname(inner), recursive=True)
-    part = f"{inner}.{uuid.uuid4().hex}"
-    with system.open_output_stream(part) as f:
-        f.write(data)
-    system.move(part, inner)
-
-
 def part_uri(root: str, level: int, bucket: int) -> str:
     """File names are unique over models, as Spark may hand them out by name."""
     return f"{root}/{os.path.basename(root)}-{level}-{bucket}"
@@ -199,7 +171,7 @@ _mapped: dict[str, np.ndarray] = {}
 def mapped(uri: str, dtype: str) -> np.ndarray:
     """A file of the shared folder as a memory-mapped array."""
     if uri not in _mapped:
-        path = _local(uri) or SparkFiles.get(os.path.basename(uri))
+        path = local_path(uri) or SparkFiles.get(os.path.basename(uri))
         _mapped[uri] = np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=dtype)
     return _mapped[uri]
 
@@ -379,7 +351,7 @@ def train(texts: DataFrame, order: int = 2, buckets: int | None = None) -> Model
     sums: dict[int, dict[int, list[int]]] = {level: {} for level in range(order + 1)}
     for r in rows.select("level", "bucket", "sums").collect():
         sums[r.level][r.bucket] = r.sums
-    if _local(root) is None:  # Spark hands the files out to the executors
+    if local_path(root) is None:  # Spark hands the files out to the executors
         for level, of in sums.items():
             for bucket in of:
                 for kind in ("words",) if level <= 1 else ("grams", "over", "contexts"):

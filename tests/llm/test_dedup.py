@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keystrata.llm import bloom, exact_dedup, near_dedup
+from keystrata.llm import exact_dedup, near_dedup, rowset
 from keystrata.llm.components import components
 
 rng = random.Random(5)
@@ -49,18 +49,41 @@ def test_exact_groups(docs_of, memtable, digest_bytes):
     assert len(got) == len(TEXTS)
 
 
+#: Names that operators use for columns of their own.
+CLASHES = ["_may", "_id", "salt", "_salt", "file", "row", "node", "keep_id", "kept", "component_id", "bucket", "least", "_metadata"]
+
+
 def test_exact_odd_rows(docs_of):
     assert exact_dedup.exact_groups(docs_of(["x"]).where("doc_id < 0")).count() == 0
-    rows = [(None, "x"), (4, "x"), (4, "x"), (9, "lone"), (None, "null id only")]
-    got = sorted(((r.doc_id, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs_of(rows)).collect()), key=str)
-    assert got == [(4, 4, 3), (4, 4, 3), (9, 9, 1), (None, 4, 3), (None, None, 1)]
+    rows = [(None, "x"), (4, "x"), (4, "x"), (9, "lone"), (None, "null id only"), (None, "null id only")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs_of(rows, clash=CLASHES)).collect()), key=str)
+    assert got == [(4, 4, 3, False), (4, 4, 3, True), (9, 9, 1, True), (None, 4, 3, False), (None, None, 2, False), (None, None, 2, True)]
     long = "a" * 3_000_000
     assert {r.group_size for r in exact_dedup.exact_groups(docs_of([long, long + " ", long])).collect()} == {1, 2}
 
 
+@pytest.mark.parametrize("digest_bytes", [16, 1])
+def test_exact_repeated_ids_with_other_texts(docs_of, digest_bytes, monkeypatch):
+    """One id, several texts: rows are told apart, and texts are regrouped only where digests truly collide."""
+    taken = []
+    by_text = exact_dedup._by_text
+    monkeypatch.setattr(exact_dedup, "_by_text", lambda rows: taken.append(1) or by_text(rows))
+    rows = [(1, "x"), (4, "x"), (4, "a unique text"), (4, "other"), (5, "other"), (7, "y"), (7, "y"), (7, "z")] + [(100 + i, f"t{i}") for i in range(400 if digest_bytes == 1 else 0)]
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs_of(rows), digest_bytes=digest_bytes).collect())
+    want = [(1, 1, 2, True), (4, 1, 2, False), (4, 4, 1, True), (4, 4, 2, True), (5, 4, 2, False), (7, 7, 1, True), (7, 7, 2, False), (7, 7, 2, True)]
+    assert got == sorted(want + [(100 + i, 100 + i, 1, True) for i in range(len(rows) - 8)])
+    assert bool(taken) == (digest_bytes == 1)
+
+
+def test_a_large_group_is_verified(docs_of):
+    rows = [(i, "the same text") for i in range(700)] + [(1000 + i, f"own {i}") for i in range(20)]
+    got = exact_dedup.exact_groups(docs_of(rows), memtable=50).collect()
+    assert sum(r.kept for r in got) == 21 and {(r.keep_id, r.group_size) for r in got if r.doc_id < 700} == {(0, 700)}
+
+
 def test_index_takes_later_batches(docs_of):
     a, b = ["x", "y", "x"], [(10, "x"), (11, "z"), (1, "y")]
-    digests = lambda d: exact_dedup.flush_runs(d.select("doc_id", F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("sha")), 4)
+    digests = lambda d: exact_dedup.flush_runs(d.select("doc_id", F.lit(1).cast("long").alias("file"), F.col("doc_id").alias("row"), F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256)).alias("sha")), 4)
     first = exact_dedup.compact(digests(docs_of(a)).where("block is not null"), 4)
     both = exact_dedup.extend(first, digests(docs_of(b)).where("block is not null"), 4).where("run = -1").collect()
     runs = np.concatenate([np.frombuffer(bytes(r.block), dtype=exact_dedup.RUN) for r in both])
@@ -113,8 +136,27 @@ def test_large_buckets_are_cut_into_blocks(docs_of, monkeypatch, share):
 def test_near_odd_rows(docs_of):
     assert near_dedup.near_duplicates(docs_of(["x"]).where("doc_id < 0")).count() == 0
     assert {r.component_id for r in near_dedup.near_duplicates(docs_of(["all", "different", "texts"])).collect()} == {0, 1, 2}
-    got = near_dedup.near_duplicates(docs_of([(3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")])).collect()
-    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == [(3, 3, True), (3, 3, True), (7, 3, False), (None, None, True)]
+    got = near_dedup.near_duplicates(docs_of([(3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (None, "q r s t u v"), (None, "q r s t u v"), (8, None)], clash=CLASHES)).collect()
+    told = sorted(((r.doc_id, r.component_id, r.kept, r.stays) for r in got), key=str)
+    assert sorted(x[:3] for x in told if x[0] is not None) == [(3, 3, True), (3, 3, True), (7, 3, False), (8, 8, True)]
+    assert sorted((x[1], x[2]) for x in told if x[0] is None and x[1]) == [(3, False)] and sum(x[1] is None for x in told) == 2
+    assert sum(x[3] for x in told) == 3  # one of the first group, one of the second, and the text without words
+
+
+def test_near_repeated_ids_with_other_texts(docs_of):
+    """One id, several texts: a row more for each row, and only texts that are alike are linked."""
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (3, a), (3, b), (9, b + " end"), (3, prose(40))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept, r.stays) for r in near_dedup.near_duplicates(docs_of(rows)).collect())
+    assert len(got) == 5
+    assert [x for x in got if x[0] != 3] == [(1, 56, 1, True, True), (9, 57, 3, False, False)]
+    assert sorted((x[2], x[4]) for x in got if x[0] == 3) == [(1, False), (3, True), (3, True)]
+
+
+def test_a_very_long_text(docs_of):
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(200_000))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs_of([long, "short one", long + " end"])).collect()}
+    assert got[2][1] == got[0][1] == 0 and got[1] == (1, 1) and got[2][0] == got[0][0] + 1 > 199_000
 
 
 def test_bands_miss_little():
@@ -130,11 +172,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_filter(spark, docs_of):
-    ids = spark.range(0, 5000, 3)
-    f = bloom.build(ids.select(F.xxhash64("id").alias("h")), "h")
-    keys = np.array([r.h for r in spark.range(0, 9000).select("id", F.xxhash64("id").alias("h")).orderBy("id").collect()])
-    found = f.may_hold(keys)
-    assert found[0:5000:3].all() and found.mean() < 0.3
-    left = bloom.without(docs_of([(1, "a"), (2, "b"), (3, "c"), (None, "d"), (2, "e")]), spark.createDataFrame([(2,)], "x long"))
-    assert sorted(r.text for r in left.collect()) == ["a", "c", "d"] and left.columns == docs_of(["x"]).columns
+def test_row_sets(spark, docs_of, tmp_path):
+    docs_of([(i % 50, f"t{i}") for i in range(3000)], clash=["file", "bucket"]).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d")).where("doc_id != 49")
+    assert rowset.filed(docs) is docs and rowset.filed(docs.union(docs)) is not docs
+    some = docs.where("doc_id % 7 = 3 and n_chars > 3").select(*rowset.place(docs))
+    left = rowset.without(docs, some)
+    assert left.dtypes == docs.dtypes
+    assert sorted(r.text for r in left.collect()) == sorted(r.text for r in docs.where("not (doc_id % 7 = 3 and n_chars > 3)").collect())
+    assert rowset.without(docs, some.where("false")).count() == docs.count()
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

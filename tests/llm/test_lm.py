@@ -92,6 +92,8 @@ def test_known_texts_score_better(docs_of):
 
 
 def test_store_in_other_file_systems(tmp_path, monkeypatch):
-    monkeypatch.setattr(L, "_local", lambda uri: None)
+    from keystrata.llm import common
+
+    monkeypatch.setattr(common, "local_path", lambda uri: None)
     L.store(f"file://{tmp_path}/a/b.words", b"12345678")
     assert (tmp_path / "a/b.words").read_bytes() == b"12345678" and len(list((tmp_path / "a").iterdir())) == 1

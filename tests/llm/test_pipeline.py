@@ -78,6 +78,28 @@ def test_stages_keep_the_columns(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+ODD = [(1, "x"), (4, "x"), (4, "a unique text"), (4, None), (None, "x"), (None, "only without an id"), (None, "only without an id"), (6, ""), (7, "y " * 30_000)]
+
+
+def test_stages_keep_rows_apart(spark, folder, tmp_path):
+    """Repeated ids with the same and other texts, no ids, clashing columns, very long and empty texts."""
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ODD], schema).withColumns({c: F.lit("clash") for c in ("_may", "_id", "salt", "file", "row", "kept", "_metadata")})
+    docs.repartition(2).write.parquet(str(tmp_path / "odd"))
+    stages = dict(corpus_pipeline.STAGES)
+    for made in (spark.read.parquet(str(tmp_path / "odd")), docs):
+        left = {name: sorted(((r.doc_id, r.text) for r in stages[name](spark, made, folder[0]).collect()), key=str) for name in ("toxicity", "exact_dedup", "near_dedup", "decontamination")}
+        assert left["toxicity"] == left["decontamination"] == sorted(ODD, key=str)
+        once = sorted({1: "x", 4: "a unique text", 7: "y " * 30_000}.items(), key=str)
+        assert [x for x in left["exact_dedup"] if x[1]  and x[0]] == once and sorted(x[1] or "" for x in left["exact_dedup"]) == sorted([t for _, t in once] + ["", "only without an id"])
+        assert sorted(left["near_dedup"], key=str) == sorted([*once, (4, None), (6, ""), (None, "only without an id")], key=str)
+        assert stages["packing"](spark, made, folder[0]).groupBy("doc_id").count().count() == 5
+    empty = spark.read.parquet(str(tmp_path / "odd")).where("doc_id > 99")
+    assert all(stage(spark, empty, folder[0]).count() == 0 for stage in stages.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_against_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, SF), duck, queries.SQL[name])
