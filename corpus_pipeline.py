@@ -1,7 +1,9 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Stages are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as
-Parquet and reads again as the next stage's docs. All but the last return the columns of documents.
+Parquet and reads again as the next stage's docs. All but the last return the columns of documents, further ones
+included, whatever their names; a null text counts as empty; repeated rows and ids are rows of their own until a stage
+that drops copies; no rows give no rows; very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keystrata.llm import bloom, decontaminate, exact_dedup, near_dedup, packing, toxicity
+from keystrata.llm import decontaminate, exact_dedup, near_dedup, packing, rowset, toxicity
 from keystrata.llm.common import cut, table
 from keystrata.llm.queries import WORD_BPE
 from keystrata.llm.tokens import vocabulary
@@ -23,15 +25,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of equal texts the row with the smallest doc_id stays."""
+    """Operator 6: of rows with equal texts (null: empty) one stays, that with the smallest doc_id, of several such the
+    first. Rows go by their place in the files, so rows that share a doc_id with other texts stay, and rows that repeat
+    everything, or have no doc_id, go like any other."""
+    docs = rowset.filed(docs)
     groups = exact_dedup.exact_groups(docs)
-    return bloom.without(docs, cut(groups.where("not kept").select("doc_id").distinct(), "copies"))
+    return rowset.without(docs, cut(groups.where("not kept").select("file", "row"), "copies"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: of documents linked by a similarity of 0.8 on five-word shingles, the smallest doc_id stays."""
+    """Operator 4: of rows linked by a similarity of 0.8 on five-word shingles one stays, that with the smallest doc_id (a
+    null is the largest), of several such the first; rows go by their place in the files. Texts without words all stay."""
+    docs = rowset.filed(docs)
     groups = near_dedup.near_duplicates(docs, k=5, share=Fraction(4, 5))
-    return bloom.without(docs, cut(groups.where("not kept").select("doc_id").distinct(), "near-copies"))
+    return rowset.without(docs, cut(groups.where("not stays").select("file", "row"), "near-copies"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
