@@ -4,10 +4,15 @@ command SQL...           run statements, print affected rows or results
 shell                    statements from standard input, one a line
 put KEY VALUE | get KEY | range [START [END]]
 partition-route RULE VALUE...
+app-install PACKAGE      make the tables of a package (a module of keystrata.procs)
+app-list | app-detail PACKAGE
+invoke PACKAGE PROCEDURE [VALUE...]   (also app-invoke)
+server-topology          partitions and the workers that they are placed on
 """
 
 from __future__ import annotations
 
+import importlib
 import sys
 
 from pyspark.sql import SparkSession
@@ -24,6 +29,17 @@ def run(s: Session, text: str) -> str:
     return f"{s.execute(text)} row(s)"
 
 
+PACKAGES = ("kv", "seckill", "tpcc", "vote", "wallet", "ycsb")
+
+
+def package(name: str):
+    if name not in PACKAGES:
+        raise EngineError("not_found", f"package {name}")
+    if name == "kv":
+        return importlib.import_module("keystrata.procs.ycsb").KV
+    return importlib.import_module(f"keystrata.procs.{name}")
+
+
 def value(text: str):
     return int(text) if text.lstrip("-").isdigit() else text
 
@@ -58,6 +74,21 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
                 print(f"{bytes(r.key).decode()}\t{bytes(r.value).decode()}")
         elif what == "partition-route":
             print(*engine.route(rest[0], tuple(value(x) for x in rest[1:])))
+        elif what == "app-install":
+            print(*engine.install(package(rest[0])))
+        elif what == "app-list":
+            print(*PACKAGES)
+        elif what == "app-detail":
+            print(*sorted(package(rest[0]).PROCEDURES))
+        elif what in ("invoke", "app-invoke"):
+            own = package(rest[0])
+            for name, fn in own.PROCEDURES.items():
+                engine.register(own.NAME, own.NAME, name, fn)
+            print(engine.invoke(own.NAME, own.NAME, rest[1], *[value(x) for x in rest[2:]]))
+        elif what == "server-topology":
+            for rule, of in s.catalog().placements.items():
+                for part, worker in of.items():
+                    print(f"{rule}\t{part}\t{worker}")
         else:
             print(__doc__)
             return 2

@@ -49,12 +49,15 @@ class RangeRule:
             if _order(a.end) > _order(b.start):
                 raise EngineError("invalid_partition", f"{a.name} and {b.name} overlap or are out of order")
 
+    def find(self, key: tuple) -> str | None:
+        """The partition that holds a key, if any."""
+        at = _order(key)
+        return next((p.name for p in self.parts if _order(p.start) <= at < _order(p.end)), None)
+
     def route(self, key: tuple) -> str:
         """The partition that holds a key."""
-        at = _order(key)
-        for p in self.parts:
-            if _order(p.start) <= at < _order(p.end):
-                return p.name
+        if found := self.find(key):
+            return found
         raise EngineError("not_found", f"{key} lies in no partition of {self.name}")
 
     def prune(self, low: tuple = (), high: tuple = (), low_inclusive: bool = True, high_inclusive: bool = False) -> list[str]:

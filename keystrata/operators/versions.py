@@ -25,10 +25,10 @@ def overlay(base: DataFrame, staged: DataFrame, key: tuple[str, ...], op: str =
 
 
 def newest(changes: DataFrame, key: tuple[str, ...], version: str = "_v") -> DataFrame:
-    """Of change frames (columns, op, version) each key's last change, with op and without version."""
+    """Of change frames (columns, op, version) each key's last change, with op and version."""
     rest = [c for c in changes.columns if c not in key]
     latest = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_c"))
-    return latest.select(*key, "_c.*").select(*[c for c in changes.columns if c != version])
+    return latest.select(*key, "_c.*").select(*changes.columns)
 
 
 def stack(old: DataFrame | None, new: DataFrame, key: tuple[str, ...]) -> DataFrame:

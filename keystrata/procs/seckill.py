@@ -41,4 +41,5 @@ def buy_set(items: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.withColumn("result", F.when(F.col("_n") <= F.col("si_stock"), "ok").otherwise("sold_out")).drop("_n", "si_stock")
 
 
+#: The names for partitioned schemas are aliases.
 PROCEDURES = {"seed": seed, "buy": buy, "seed_partitioned": seed, "buy_partitioned": buy}

@@ -34,7 +34,7 @@ def update(s: Session, user: str, value: str) -> None:
 
 def scan(s: Session, start: str, end: str) -> list[str]:
     """key=value for the keys from start up to, but without, end, in order."""
-    return [f"{bytes(r.key).decode()}={bytes(r.value).decode()}" for r in s.range(_key(start), _key(end)).collect()]
+    return [f"{bytes(r.key).decode()}={bytes(r.value).decode()}" for r in s.range(_key(start), _key(end)).toLocalIterator()]
 
 
 def read_modify_write(s: Session, user: str, more: str) -> str:
@@ -43,4 +43,11 @@ def read_modify_write(s: Session, user: str, more: str) -> str:
     return value
 
 
+class KV:
+    """The package of the key/value demo: the same procedures under its names."""
+
+    NAME, DDL = "kv", ""
+    PROCEDURES = {f"kv_{f.__name__}": f for f in (insert, read, update, scan, read_modify_write)}
+
+
 PROCEDURES = {f.__name__: f for f in (insert, read, update, scan, read_modify_write)}

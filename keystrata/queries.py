@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keystrata.functions import codecs, exact
-from keystrata.functions.types import ColumnDef, ColumnType, half_even, truncate_time, truncate_timestamp
+from keystrata.functions.types import ColumnDef, ColumnType, EngineError, half_even, truncate_time, truncate_timestamp
 from keystrata.operators import access, dml, partition, versions
 from keystrata.operators.access import Condition
 from keystrata.operators.partition import MAX, MIN, Part, RangeRule
@@ -361,12 +361,17 @@ def catalog_scan(spark, sf):
     return catalog.table_rows(spark).fillna(-1, ["key_position"])
 
 
-@query(None)
+@query("SELECT 10 AS size, '3456' AS piece, '012345AB89' AS changed, '' AS beyond")
 def object_read(spark, sf):
-    """A file's piece by offset and length; binary files are not SQL, so tests hold this against the bytes."""
-    from keystrata.sources.objects import piece
+    """A file of an object: its size, a piece of it, the whole after a write at an offset, and what lies beyond its end."""
+    from keystrata.sources.objects import Objects, new_id
+    from keystrata.sources.scratch import scratch
 
-    return spark.read.format("binaryFile").load(f"{sf}/region.parquet").select(F.col("length").alias("size"), piece(F.col("content"), 0, 4).cast("string").alias("magic"))
+    o, key = Objects(spark, scratch(spark, "objects")), new_id()
+    o.write(key, "d/a.bin", b"0123456789")
+    size, part = o.readdir(key, "d")[0][2], o.pread(key, "d/a.bin", 3, 4).decode()
+    o.pwrite(key, "d/a.bin", 6, b"AB")
+    return spark.createDataFrame([(size, part, o.pread(key, "d/a.bin").decode(), o.pread(key, "d/a.bin", 99, 5).decode())], "size int, piece string, changed string, beyond string")
 
 
 # --- procedures as sets ------------------------------------------------------------------------------------------------
@@ -462,3 +467,271 @@ def general_sql(spark, sf):
     s.insert_frame("customer", t(spark, sf, "customer"))
     s.insert_frame("nation", t(spark, sf, "nation"))
     return s.query("SELECT c_mktsegment, count(*) AS n, round(max(c_acctbal), 2) AS top FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = ? GROUP BY c_mktsegment HAVING count(*) > 1 ORDER BY 1", (1,))
+
+
+# --- reads through statements ------------------------------------------------------------------------------------------
+_databases: dict[tuple[str, str], object] = {}
+
+SCHEMA = """
+CREATE PARTITION RULE r_orders RANGE (o_orderkey) (PARTITION p0 VALUES FROM (MINVALUE) TO (1000), PARTITION p1 VALUES FROM (1000) TO (2000), PARTITION p2 VALUES FROM (2000) TO (MAXVALUE));
+CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_orderstatus TEXT, o_totalprice DOUBLE, o_orderpriority TEXT) PARTITION BY GLOBAL RULE r_orders REFERENCES (o_orderkey);
+CREATE TABLE customer (c_custkey BIGINT PRIMARY KEY, c_name TEXT, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment TEXT);
+CREATE TABLE nation (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT);
+CREATE TABLE region (r_regionkey INT PRIMARY KEY, r_name TEXT);
+CREATE TABLE part (p_partkey BIGINT PRIMARY KEY, p_name TEXT, p_brand TEXT, p_size INT, p_retailprice DOUBLE);
+CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role TEXT, PRIMARY KEY (conv_id, turn));
+"""
+
+
+def _db(spark, sf):
+    """A session over the driver's tables, whole, as engine tables; loaded once for an application and folder."""
+    from keystrata.plans.engine import Engine
+    from keystrata.sources.scratch import scratch
+
+    at = spark.sparkContext.applicationId, sf
+    if at not in _databases:
+        engine = Engine(spark, scratch(spark, "tables"))
+        s = engine.session()
+        s.batch(SCHEMA)
+        for name in ("orders", "customer", "nation", "region", "part", "conversations"):
+            s.insert_frame(name, t(spark, sf, name))
+        _databases[at] = engine
+    return _databases[at].session()
+
+
+def _empty(spark, script=""):
+    """A session over an engine with nothing but what a script makes."""
+    from keystrata.plans.engine import Engine
+    from keystrata.sources.scratch import scratch
+
+    s = Engine(spark, scratch(spark, "engine")).session()
+    if script:
+        s.batch(script)
+    return s
+
+
+def statement(name: str, text: str, args: tuple = (), sql: str | None = None, ordered: bool = False, doc: str = ""):
+    """Register a query that runs one statement through a session; sql: for DuckDB, where it differs from the text."""
+
+    def run(spark, sf):
+        return _db(spark, sf).query(text, args, ordered)
+
+    run.__name__, run.__doc__ = name, doc or text
+    query(sql or text)(run)
+
+
+statement("engine_point_read", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = ?", (1042,), "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 1042")
+statement("engine_prefix_read", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = $1", (3,), "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3")
+statement("engine_prefix_range", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 AND turn > 1")
+statement("engine_partition_prune", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 1500 AND o_orderkey < 2100")
+statement("engine_full_scan", "SELECT o_orderkey, o_orderstatus FROM orders")
+statement("engine_select_star", "SELECT * FROM nation")
+statement("engine_key_not_equal", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey != 7")
+statement("engine_residual", "SELECT p_partkey FROM part WHERE p_size >= 20 AND p_brand = 'Brand#12' AND 1500 > p_retailprice")
+statement("engine_parentheses", "SELECT p_partkey FROM part WHERE (p_size >= 20 AND (p_size < 30)) AND (p_partkey > 100)")
+statement("engine_or_in_like", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 7) OR p_size BETWEEN 40 AND 42 OR (p_brand LIKE 'Brand#1%' AND p_name IS NOT NULL AND NOT p_size < 25)")
+statement("engine_column_to_column", "SELECT n_nationkey FROM nation WHERE n_nationkey > n_regionkey * 6")
+statement("engine_arithmetic", "SELECT p_partkey, p_size * 2 + 1 AS twice, p_partkey % 7 AS rest FROM part WHERE p_size - 3 > 40")
+statement("engine_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+statement("engine_qualified_names", "SELECT public.nation.n_name AS name, nation.n_nationkey AS id FROM public.nation WHERE nation.n_regionkey = 2", sql="SELECT n_name AS name, n_nationkey AS id FROM nation WHERE n_regionkey = 2")
+statement("engine_aggregates", "SELECT COUNT(*) AS n, COUNT(p_name) AS named, SUM(p_size) AS total, MIN(p_size) AS low, MAX(p_size) AS high FROM part WHERE p_partkey < 500", sql="SELECT count(*) AS n, count(p_name) AS named, CAST(sum(p_size) AS BIGINT) AS total, min(p_size) AS low, max(p_size) AS high FROM part WHERE p_partkey < 500")
+statement("engine_mixed_aggregate", "SELECT o_orderstatus, count(*) AS n, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus")
+statement("engine_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+statement("engine_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+statement("engine_rollup", "SELECT n_regionkey, n_nationkey, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+statement("engine_filter_distinct", "SELECT count(DISTINCT o_custkey) AS buyers, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished, count(DISTINCT o_orderstatus) FILTER (WHERE o_custkey > 50) AS kinds FROM orders")
+statement("engine_inner_join", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_nationkey = 3")
+statement("engine_left_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' WHERE c.c_nationkey = 5")
+statement("engine_full_join", "SELECT r.r_name, n.n_name FROM region r FULL JOIN nation n ON r.r_regionkey = n.n_regionkey AND n.n_nationkey > 12")
+statement("engine_cross_join", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_nationkey < 3")
+statement("engine_lateral_join", "SELECT r.r_name, x.n FROM region r, LATERAL (SELECT count(*) AS n FROM nation n WHERE n.n_regionkey = r.r_regionkey) x")
+statement("engine_semi_anti_join", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+statement("engine_window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders")
+statement("engine_window_frame", "SELECT n_nationkey, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near FROM nation", sql="SELECT n_nationkey, CAST(sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS near FROM nation")
+statement("engine_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region UNION ALL SELECT 99")
+statement("engine_intersect_except", "(SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) EXCEPT SELECT c_custkey FROM customer WHERE c_nationkey = 2")
+statement("engine_case_cast", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS kind, COALESCE(NULLIF(p_size, 7), -1) AS size, CAST(p_partkey AS VARCHAR(20)) AS text, CAST(p_retailprice AS DECIMAL(12,2)) > 1200 AS dear FROM part")
+statement("engine_subquery", "WITH top AS (SELECT o_custkey, max(o_totalprice) AS most FROM orders GROUP BY o_custkey) SELECT c_custkey, most FROM top JOIN customer ON c_custkey = o_custkey WHERE most > (SELECT avg(o_totalprice) FROM orders)")
+statement("engine_order_limit", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 20")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS place FROM orders ORDER BY o_orderkey LIMIT 25")
+def engine_key_order(spark, sf):
+    """The first rows of a scan in key order (which is the order of the partitions, too), with their places."""
+    rows = _db(spark, sf).query("SELECT o_orderkey FROM orders", ordered=True).limit(25).collect()
+    return spark.createDataFrame([(r.o_orderkey, i) for i, r in enumerate(rows)], "o_orderkey long, place long")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN 'p0' WHEN o_orderkey < 2000 THEN 'p1' ELSE 'p2' END AS part_id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS place FROM orders WHERE o_orderkey BETWEEN 990 AND 1010")
+def partition_order(spark, sf):
+    """Rows on both sides of a partition's bound, in the order of the partitions and the key."""
+    o = partition.with_partition(t(spark, sf, "orders").select("o_orderkey").where("o_orderkey between 990 and 1010"), ORDERS_RULE, ["o_orderkey"])
+    rows = partition.ordered_scan(o, ORDERS_RULE, ["o_orderkey"], ["o_orderkey"]).collect()
+    return spark.createDataFrame([(r.o_orderkey, r.part_id, i) for i, r in enumerate(rows)], "o_orderkey long, part_id string, place long")
+
+
+@query("SELECT printf('k%08d', event_id) AS k, CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS place FROM events WHERE event_id >= 100 AND event_id < 130")
+def kv_order(spark, sf):
+    """A range of keys in byte order, with their places."""
+    rows = kv.scan(_events_kv(spark, sf), b"k00000100", b"k00000130").collect()
+    return spark.createDataFrame([(bytes(r.key).decode(), i) for i, r in enumerate(rows)], "k string, place long")
+
+
+@query("SELECT 'path key; key [(''o_orderkey'', ''='')]; residual [(''o_orderstatus'', ''='')]' AS head, true AS pushed, true AS one_partition")
+def engine_explain(spark, sf):
+    """The head of a plan's text: the access path; and that the key reaches the scan, of one partition's folder."""
+    plan = _db(spark, sf).one("EXPLAIN SELECT o_custkey FROM orders WHERE o_orderkey = 42 AND o_orderstatus = 'F'").plan
+    return spark.createDataFrame([(plan.split("\n")[0], "EqualTo(o_orderkey,42)" in plan, "part_id" in plan and "p0" in plan)], "head string, pushed boolean, one_partition boolean")
+
+
+@query("SELECT * FROM (VALUES ('orders', 1042, 1), ('part', 77, 0)) v(table_name, k, files_skipped) WHERE false")
+def engine_pruned_nothing_lost(spark, sf):
+    """Rows that pruning by partition loses against a scan of all of them: none."""
+    s = _db(spark, sf)
+    whole = s.table("orders")
+    lost = None
+    for low in (0, 999, 1000, 1999, 2000, 14_000):
+        some = s.query("SELECT o_orderkey FROM orders WHERE o_orderkey >= ? AND o_orderkey <= ?", (low, low + 1))
+        gap = whole.where(F.col("o_orderkey").between(low, low + 1)).select("o_orderkey").subtract(some)
+        lost = gap if lost is None else lost.union(gap)
+    return lost.select(F.lit("orders").alias("table_name"), F.col("o_orderkey").alias("k"), F.lit(0).alias("files_skipped"))
+
+
+@query("SELECT * FROM (VALUES ('r', 0, 'p0', '(''MINVALUE'',)', '(5,)'), ('r', 1, 'p1', '(5,)', '(''MAXVALUE'',)')) v(rule, position, partition, start_bound, end_bound)")
+def engine_partition_rules(spark, sf):
+    s = _empty(spark, "CREATE PARTITION RULE r RANGE (a) (PARTITION p0 VALUES FROM (MINVALUE) TO (5), PARTITION p1 VALUES FROM (5) TO (MAXVALUE))")
+    return s.catalog().rule_rows(spark)
+
+
+@query("SELECT * FROM (VALUES ('r', 'p0', 3), ('r', 'p1', 4)) v(rule, partition, worker)")
+def engine_placement(spark, sf):
+    s = _empty(spark, "CREATE PARTITION RULE r RANGE (a) (PARTITION p0 VALUES FROM (MINVALUE) TO (5), PARTITION p1 VALUES FROM (5) TO (MAXVALUE)); CREATE PARTITION PLACEMENT FOR RULE r (PARTITION p0 ON WORKER 3, PARTITION p1 ON WORKER 4)")
+    return s.catalog().placement_rows(spark)
+
+
+@query("SELECT * FROM (VALUES ('doc', 'file'), ('box', 'directory')) v(name, kind)")
+def engine_file_types(spark, sf):
+    s = _empty(spark, "CREATE TYPE doc FILESYSTEM FILE; CREATE TYPE box FILESYSTEM DIRECTORY; CREATE TYPE gone FILESYSTEM FILE; DROP TYPE gone")
+    return s.catalog().fs_type_rows(spark)
+
+
+@query("SELECT 32 AS id_length, 'abcXYf' AS content, false AS after_update, false AS after_delete")
+def engine_file_hooks(spark, sf):
+    """A column of a file type gets an object; a new value or a deleted row takes the old object away."""
+    s = _empty(spark, "CREATE TYPE doc FILESYSTEM FILE; CREATE TABLE f (id INT PRIMARY KEY, body doc); INSERT INTO f (id) VALUES (1)")
+    first = s.one("SELECT body FROM f WHERE id = 1").body
+    s.fs_write(first, "text", b"abcdef")
+    s.fs_write(first, "text", b"XY", offset=3)
+    content = s.fs_read(first, "text").decode()
+    s.execute("UPDATE f SET body = NULL WHERE id = 1")
+    second = s.one("SELECT body FROM f WHERE id = 1").body
+    s.fs_write(second, "text", b"new")
+    s.execute("DELETE FROM f WHERE id = 1")
+    there = []
+    for key in (first, second):
+        try:
+            s.fs_read(key, "text")
+            there.append(True)
+        except EngineError:
+            there.append(False)
+    return spark.createDataFrame([(len(first), content, *there)], "id_length int, content string, after_update boolean, after_delete boolean")
+
+
+@query("SELECT * FROM (VALUES ('b', 'k', 'i32')) v(table_name, column_name, family)")
+def engine_create_drop(spark, sf):
+    s = _empty(spark, "CREATE TABLE a (k INT PRIMARY KEY); CREATE TABLE b (k INT PRIMARY KEY); CREATE TABLE IF NOT EXISTS b (k INT PRIMARY KEY); DROP TABLE a; DROP TABLE IF EXISTS a")
+    return s.catalog().table_rows(spark).select("table_name", "column_name", "family")
+
+
+@query("SELECT * FROM (VALUES ('id', 'integer', 0), ('name', 'string', 1), ('price', 'decimal(12,2)', 2)) v(name, type, place)")
+def engine_describe(spark, sf):
+    s = _empty(spark, "CREATE TABLE d (id INT PRIMARY KEY, name TEXT, price NUMERIC(12,2))")
+    fields = s.describe("SELECT id, name, price FROM d WHERE id = ?").fields
+    return spark.createDataFrame([(f.name, "integer" if f.dataType.simpleString() == "int" else f.dataType.simpleString(), i) for i, f in enumerate(fields)], "name string, type string, place int")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey = 3 THEN 'three' ELSE p_name END AS p_name, CAST(CASE WHEN p_partkey = 4 THEN p_size + 5 ELSE p_size END AS INTEGER) AS p_size FROM part WHERE p_partkey != 5 UNION ALL SELECT 99999999, 'typed', 8")
+def engine_typed_rows(spark, sf):
+    """The typed row interface: insert, absolute values, increments, delete; and a restart from what was committed."""
+    from keystrata.plans.engine import Engine
+
+    s = _empty(spark, "CREATE TABLE part (p_partkey BIGINT PRIMARY KEY, p_name TEXT, p_size INT)")
+    s.insert_frame("part", t(spark, sf, "part"))
+    s.relation_insert("part", {"p_partkey": 99999999, "p_name": "typed", "p_size": 8})
+    s.relation_update("part", {"p_partkey": 3}, {"p_name": "three"})
+    s.relation_update("part", {"p_partkey": 4}, deltas=[dml.Delta("p_size", "add", 7), dml.Delta("p_size", "sub", 2)])
+    s.relation_delete("part", {"p_partkey": 5})
+    return Engine(spark, s.engine.storage.root).session().query("SELECT p_partkey, p_name, p_size FROM part")
+
+
+@query("SELECT * FROM (VALUES (1, 107, 'a'), (2, 20, 'theirs'), (3, 30, 'mine'), (4, 40, 'd')) v(id, v, note)")
+def engine_concurrent_sessions(spark, sf):
+    """Two sessions commit changes of different keys, increments of one key commute, and a second writer of a key fails."""
+    s = _empty(spark, "CREATE TABLE t (id INT PRIMARY KEY, v INT, note TEXT); INSERT INTO t VALUES (1, 100, 'a'), (2, 20, 'b'), (3, 30, 'c'), (4, 40, 'd')")
+    other, third = s.engine.session(), s.engine.session()
+    for x in (s, third):
+        x.begin()
+    s.execute("UPDATE t SET v = v + 5 WHERE id = 1")
+    other.execute("UPDATE t SET v = v + 2 WHERE id = 1")
+    other.execute("UPDATE t SET note = 'theirs' WHERE id = 2")
+    s.commit()
+    third.execute("UPDATE t SET note = 'late' WHERE id = 2")
+    try:
+        third.commit()
+    except EngineError:
+        s.execute("UPDATE t SET note = 'mine' WHERE id = 3")
+    return s.query("SELECT id, v, note FROM t")
+
+
+@query("SELECT id, v FROM (VALUES (1, 10), (2, 20)) t(id, v)")
+def engine_rollback(spark, sf):
+    s = _empty(spark, "CREATE TABLE t (id INT PRIMARY KEY, v INT); INSERT INTO t VALUES (1, 10), (2, 20)")
+    s.execute("BEGIN")
+    s.execute("UPDATE t SET v = 0 WHERE id = 1")
+    s.execute("DELETE FROM t WHERE id = 2")
+    s.execute("INSERT INTO t VALUES (3, 30)")
+    s.execute("ROLLBACK")
+    return s.query("SELECT id, v FROM t")
+
+
+@query("SELECT 'order=1;lines=2;qty=15;amount=33;all_local=false;status=NEW' AS placed, 'NEW' AS status, '-50.00' AS balance, 'delivered order=1 carrier=7' AS delivered, 'DELIVERED' AS later")
+def procedure_invoke(spark, sf):
+    """A package is installed, and its procedures called by name, each in a transaction of its own."""
+    s = _empty(spark)
+    s.engine.install(tpcc)
+    call = lambda name, *args: s.engine.invoke("tpcc", "tpcc", name, *args)
+    call("seed", 2, 1, 1, 2, 50)
+    placed, status = call("new_order", 1, 1, 1, [1, 2], [1, 2], [12, 3]), call("order_status", 1, 1, 1)
+    balance = str(call("payment", 1, 1, 1, 50))
+    return spark.createDataFrame([(placed, status, balance, call("delivery", 1, 1, 7), call("order_status", 1, 1, 1))], "placed string, status string, balance string, delivered string, later string")
+
+
+@query("SELECT event_type AS v, count(*) AS n FROM events WHERE event_id < 700 GROUP BY 1")
+def engine_key_value(spark, sf):
+    """A session's key/value data: put as a frame, a key deleted and put again, and read as a range."""
+    s = _empty(spark)
+    s.put_frame(_events_kv(spark, sf))
+    old = s.get(b"k00000010")
+    s.delete(b"k00000010")
+    if s.get(b"k00000010") is None:
+        s.put(b"k00000010", old)
+    return s.range(b"", b"k00000700").groupBy(F.col("value").cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CAST(CAST(CAST(p_retailprice AS DECIMAL(20,8)) + coalesce(d, 0) AS DECIMAL(20,8)) AS VARCHAR) AS price FROM part LEFT JOIN (SELECT l_partkey, sum(l_linenumber * CAST(0.00000001 AS DECIMAL(9,8))) AS d FROM lineitem GROUP BY l_partkey) ON p_partkey = l_partkey")
+def delta_fold_numeric(spark, sf):
+    """Increments of the eighth decimal place."""
+    base = t(spark, sf, "part").select("p_partkey", F.col("p_retailprice").cast("decimal(20,8)").alias("price"))
+    deltas = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_linenumber") * F.lit("0.00000001").cast("decimal(9,8)")).alias("amount"))
+    return dml.fold_deltas(base, deltas, ("p_partkey",), "price").withColumn("price", F.col("price").cast("string"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey != 7")
+def key_not_equal(spark, sf):
+    return access.where_all(t(spark, sf, "part"), [Condition("p_partkey", "!=", 7)]).select("p_partkey")
+
+
+@query("SELECT 'r_name' AS name, 'string' AS type UNION ALL SELECT 'r_regionkey', 'int'")
+def schema_probe(spark, sf):
+    s = _db(spark, sf)
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s.describe("SELECT * FROM region").fields], "name string, type string")

@@ -13,7 +13,7 @@ def test_tpcc(engine):
     s = engine.session()
     call = lambda name, *a: engine.invoke("tpcc", "tpcc", name, *a, session=s)
     call("seed", 2, 1, 2, 5, 20)
-    assert call("new_order", 1, 1, 1, [1, 2], [1, 2], [12, 3]) == "order=1 lines=2 quantity=15 amount=33.00 all_local=0 status=NEW"
+    assert call("new_order", 1, 1, 1, [1, 2], [1, 2], [12, 3]) == "order=1;lines=2;qty=15;amount=33;all_local=false;status=NEW"
     assert tuple(s.one("SELECT s_quantity, s_ytd, s_order_cnt, s_remote_cnt FROM stock WHERE s_w_id = 1 AND s_i_id = 1")) == (99, 12, 1, 0)
     assert tuple(s.one("SELECT s_quantity, s_ytd, s_order_cnt, s_remote_cnt FROM stock WHERE s_w_id = 2 AND s_i_id = 2")) == (17, 3, 1, 1)
     assert call("payment", 1, 1, 1, 7) == Decimal("-7.00")

@@ -10,12 +10,6 @@ def test_against_sql(spark, duck, name):
     same_rows(QUERIES[name](spark, SF), duck, SQL[name])
 
 
-def test_object_read(spark):
-    row = QUERIES["object_read"](spark, SF).first()
-    data = open(f"{SF}/region.parquet", "rb").read()
-    assert (row["size"], row.magic) == (len(data), "PAR1")
-
-
 def test_kv_store_holds_all_events(spark):
     from keystrata.queries import _events_kv
 
