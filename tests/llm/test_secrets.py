@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -43,6 +44,12 @@ def test_base_spans_against_plain_patterns(seed):
         ('title = "q9X3vB7nLm2ZpT8w"', []),
         ("at 12:30 = noon, see https://example.com/?q=1", []),
         ("password:", []),
+        ('k = "Zx81kQpL9mN2"\ntoken = f"vB7cR4tY{k}aa11BB22"', ["Zx81kQpL9mN2", "vB7cR4tY", "aa11BB22"]),
+        ("pw = Zx81kQpL9mN2vB\nPASSWORD=$pw\n", ["Zx81kQpL9mN2vB"]),
+        ("k = Zx81kQpL\napi_token = ab12${k}", ["Zx81kQpL", "ab12"]),
+        ('k = "Zx81kQpL9mN2vB"\nrun --auth-token "${k}"', ["Zx81kQpL9mN2vB"]),
+        ('k = "Zx81kQpL9mN2vB"\nk = "plain"\ntoken = k', []),
+        ('token = "Zx81kQpL9mN2vB" + unknown(x)', ["Zx81kQpL9mN2vB"]),
     ],
 )
 def test_assignments(text, want):
@@ -67,6 +74,27 @@ def test_many_signs_in_one_run_take_linear_time():
     assert S.literal_spans("a=" * 200_000) == []
 
 
+def timed(text):
+    began = time.perf_counter()
+    spans = S.literal_spans(text)
+    assert time.perf_counter() - began < 10
+    return [text[a:b] for a, _, b in spans]
+
+
+def test_no_limits_and_no_blow_up():
+    """Names and literals of a megabyte, constants that double or grow line by line, many sections, lone quotes."""
+    mega = "Zx81kQpL9mN2vB7cR4" * 60_000
+    assert timed(f'token = "{mega}"') == timed(f"token = {mega}") == [mega]
+    assert timed("x" * 1_000_000 + "_token = 'Zx81kQpL9mN2vB7c'") == ["Zx81kQpL9mN2vB7c"]
+    assert timed("x" * 1_000_000) == [] and timed("a." * 500_000 + "b") == [] and timed("7" * 1_000_000 + "=") == []
+    assert timed('a = "Zx81kQpL9mN2vB7c"\n' + "a = a + a\n" * 1000 + "token = a") == ["Zx81kQpL9mN2vB7c"]
+    grown = timed('s = "Zx81kQpL9mN2vB7c"\n' + "".join(f's = s + "q{i}Kx"\n' for i in range(20_000)) + "token = s")
+    assert len(grown) == 20_001
+    assert timed("".join(f"[s{i}]\nkey = value\n" for i in range(100_000)) + "[auth]\nkey = Zx81kQpL9mN2vB") == ["Zx81kQpL9mN2vB"]
+    assert timed(f"[{'x' * 500_000}]\n" + "n = 1\n" * 50_000) == []
+    assert timed("a=\"\n" * 100_000 + "b='" * 100_000) == [] and timed("--" * 500_000) == [] and timed("<a>" * 300_000) == []
+
+
 def test_documents(docs_of):
     got = {r.doc_id: r for r in S.scan_documents(docs_of(CASES, clash=["spans", "n_hex"])).collect()}
     assert len(got) == len(CASES)
@@ -78,6 +106,8 @@ def test_documents(docs_of):
         assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert set(text.split(",")) - {""} <= set(r.spans.split(","))
     assert S.scan_documents(docs_of(["x"]).where("doc_id < 0")).count() == 0
+    odd = S.scan_documents(docs_of([(3, "token=abcdefghijklmnop"), (3, "x"), (None, "token=abcdefghijklmnop"), (3, "x")])).collect()
+    assert sorted(((r.doc_id, r.n_assign) for r in odd), key=str) == [(3, 0), (3, 0), (3, 1), (None, 1)]
 
 
 def test_redaction():
