@@ -7,11 +7,12 @@ packs is split when fewer than n pieces are left. Groups are runs of consecutive
 numbers: length, first rank, how many, first sequence, offset. Pieces get their rank among equal lengths and are joined
 to the placements by rank.
 
-A rank is a piece's position in its (length, bucket) plus what earlier buckets hold; buckets are hashes of the document
-id, so a length that a third of all pieces share is ranked by many tasks.
+A rank is a piece's position in its (length, bucket) plus what earlier buckets hold; buckets are hashes of the document's
+number in its task, so a length that a third of all pieces share, or an id that they share, is ranked by many tasks.
 
-Defined results: a null or empty text is one piece holding just the closing id; rows that repeat a doc_id are packed as
-documents of their own (equal pieces are interchangeable); no rows give no rows; other columns are not read.
+Defined results: a null or empty text is one piece holding just the closing id; rows that repeat a doc_id, or have none, are
+packed as documents of their own (equal pieces are interchangeable); pieces of equal length go by bucket, doc_id and start;
+a very long text is cut into whole runs and a rest; no rows give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keystrata.llm.common import apart, cut, give_back, partitions, ship, text_slices
-from keystrata.llm.tokens import chunk_tokens, slices
+from keystrata.llm.common import apart, cut, give_back, partitions, parts, ship
+from keystrata.llm.tokens import chunk_tokens
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int"
 
@@ -35,34 +36,27 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def cut_into_pieces(docs: DataFrame, tokenizer: str, capacity: int, closing_id: int, buckets: int, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row for each piece; with keep_ids also its ids (unsigned 32-bit, little-endian)."""
     schema = T.StructType(T._parse_datatype_string(PIECE).fields + ([T.StructField("ids", T.BinaryType())] if keep_ids else []))
-    close = np.array([closing_id], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = chunk_tokens(tokenizer)
-        parts = ((whole, texts) for batch in batches for whole, texts in text_slices(batch, rows=1000))
-        for batch, texts in parts:
-            doc_ids, bucket = batch.column(0), batch.column(2)
-            texts = [x or "" for x in texts]
-            for first, part in slices(texts, [len(x) for x in texts], 4_000_000):
-                rows: list[list] = [[] for _ in range(6 + keep_ids)]
-                at: list[int] = []
-                for i, data in enumerate(tokens.encode(part)):
-                    data += close
-                    total = len(data) // 4
-                    for start in range(0, total, capacity):
-                        ids = data[4 * start : 4 * (start + capacity)]
-                        at.append(first + i)
-                        for column, value in zip(rows[1:], (start, len(ids) // 4, zlib.crc32(ids), total), strict=False):
-                            column.append(value)
-                        if keep_ids:
-                            rows[6].append(ids)
-                take = pa.array(at, pa.int64())
-                out = [doc_ids.take(take), *(pa.array(x, pa.int64()) for x in rows[1:5]), bucket.take(take)]
-                yield pa.RecordBatch.from_arrays(out + ([pa.array(rows[6], pa.binary())] if keep_ids else []), names=schema.names)
+        for batch in batches:
+            for first, texts in parts(batch.column(1), 4_000_000):
+                flat, starts = tokens.encode(texts, closing_id)
+                flat = flat.astype("<u4", copy=False)
+                n = np.diff(starts)
+                per = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), per)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)) * capacity
+                length = np.minimum(capacity, n[doc] - start)
+                at = starts[doc] + start
+                ids = [flat[lo:hi].tobytes() for lo, hi in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                take = pa.array(first + doc)
+                out = [batch.column(0).take(take), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array(n[doc]), batch.column(2).take(take)]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.binary())] if keep_ids else []), names=schema.names)
         give_back()
 
     ship(docs.sparkSession)
-    key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int")
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("bucket")).mapInArrow(pieces, schema)
 
 
@@ -150,7 +144,7 @@ def pack(pieces: DataFrame, capacity: int, most_sent: int = MOST_SENT) -> DataFr
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, closing_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Documents to pieces with sequence_id and offset; keep_ids carries the ids as well.
 
-    A text is tokenized once: the pieces (about 40 bytes each without ids) are kept in the shared folder.
+    A text is tokenized once: the pieces (about 40 bytes each without ids) and their buckets are kept in the shared folder.
     """
     pieces = cut_into_pieces(docs, tokenizer, capacity, closing_id, partitions(docs.sparkSession), id_col, text_col, keep_ids)
     return pack(cut(pieces, "pieces"), capacity)

@@ -4,15 +4,17 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from keystrata.llm import best_fit, packing
-from keystrata.llm.tokens import ChunkTokens, chunks
+from keystrata.llm.common import parts
+from keystrata.llm.tokens import ChunkTokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["End. End, END. it's. x'S, H\u0331. \u1e96, ?!. 5. a.b. É. é, <|STARTOFTEXT|>. <|endoftext|>, ..", "Σ. ΟΔΟΣ. İ, ǅ.", "", None, "hello world", "a" * 3000, "x \x1c y z <|endoftext|> Ünï İΣς", " \n\t ", "word " * 50, "word " * 50, "It's 12 o'clock?!", "日本語 テスト"] + [f"some text number {i} " * (i % 13) for i in range(40)]
+TEXTS = ["End. End, END. it's. x'S, H\u0331. \u1e96, ?!. 5. a.b. É. é, <|STARTOFTEXT|>. <|endoftext|>, ..", "Σ. ΟΔΟΣ. İ, ǅ.", "", None, "hello world", "a" * 3000, "x \x1c y z <|endoftext|> Ünï İΣς", " \n\t ", "word " * 50, "word " * 50, "It's 12 o'clock?!", "日本語 テスト", "heat*** re%%% are.*** straße,öl; ÿ! don't. l's, word<|endoftext|> a<b µm ªº x@y.z {brace} `tick` ½"] + [f"some text number {i} " * (i % 13) for i in range(40)]
 
 
 def encode(text):
@@ -24,9 +26,31 @@ def test_chunked_tokens_equal_whole_texts():
     for most in (0, 7, 10_000):
         c = ChunkTokens(PATH, most=most)
         for _ in range(2):
-            assert c.encode([t or "" for t in TEXTS]) == whole
-        assert len(c.cache) <= most
-    assert chunks("a\x1cb c") == ["a\x1cb", "c"]
+            flat, starts = c.encode(pa.array(TEXTS, pa.string()))
+            assert [flat[a:b].astype("<u4").tobytes() for a, b in zip(starts, starts[1:])] == whole
+            closed, ends = c.encode(pa.array(TEXTS, pa.string()).slice(3, 5), 2)
+            assert [closed[a:b].tolist() for a, b in zip(ends, ends[1:])] == [encode(t) for t in TEXTS[3:8]]
+        assert len(c.words.place) <= most and len(c.chunks.place) <= most
+    assert [len(x) for x in c.encode(pa.array([], pa.string()), 2)] == [0, 1] and c.dtype == "<u2"
+
+
+def test_light_words_equal_the_whole_tokenizer():
+    """Every run of Latin letters and punctuation, through the light way and the whole one."""
+    rng = random.Random(4)
+    letters, marks = "abcdefghijklmnopqrstuvwxyzßàéîöøüýþÿ", "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) + "".join(rng.choice(marks) for _ in range(rng.choice([0, 0, 1, 3]))) for _ in range(4000)]
+    c = ChunkTokens(PATH, most=0)
+    assert c.light is not None and [len(x) for x in c.encode(pa.array(words))] == [len(c.encode(pa.array(words))[0]), 4001]
+    flat, starts = c.encode(pa.array(words))
+    whole = Tokenizer.from_file(PATH)
+    assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:])] == [e.ids for e in whole.encode_batch(words, add_special_tokens=False)]
+
+
+def test_parts_cover_all_texts():
+    texts = pa.array(["a" * 5, None, "", "b" * 50, "c", "d"])
+    for most in (1, 6, 20, 1000):
+        got = [x for _, part in parts(texts, most) for x in part.to_pylist()]
+        assert got == texts.to_pylist() and [f for f, _ in parts(texts, most)][0] == 0
 
 
 def check_pieces(rows, texts, capacity):
@@ -144,16 +168,53 @@ def test_registered_query_writes_matrices(spark):
     before = set(os.listdir(top)) if os.path.isdir(top) else set()
     rows = op2_best_fit(spark, "/root/testdata/sf0.001").collect()
     [new] = [x for x in set(os.listdir(top)) - before if x.startswith("matrices-")]
-    names = sorted(x.removesuffix(".ids") for x in os.listdir(f"{top}/{new}") if x.endswith(".ids"))
+    names = sorted(x.removesuffix(".ids.u2") for x in os.listdir(f"{top}/{new}") if x.endswith(".ids.u2"))
     got = []
     for name in names:
-        cu = np.fromfile(f"{top}/{new}/{name}.cu", "<i4")
+        cu = np.fromfile(f"{top}/{new}/{name}.cu.i4", "<i4")
         ends = cu[np.flatnonzero(cu == -1) - 1]
-        pair = [np.fromfile(f"{top}/{new}/{name}.{ext}", "<u4").reshape(len(ends), 4096) for ext in ("ids", "positions")]
-        got += [(int(n), *(zlib.crc32(m[i, :n].tobytes()) for m in pair)) for i, n in enumerate(ends)]
-    assert rows and sorted(got) == sorted((r.n_tokens, r.ids_crc32, r.positions_crc32) for r in rows)
+        pair = [np.fromfile(f"{top}/{new}/{name}.{ext}.u2", "<u2").reshape(len(ends), 4096).astype("<u4") for ext in ("ids", "positions")]
+        got += [(int(n), *(zlib.crc32(m[i, :n].tobytes()) for m in pair), name, i) for i, n in enumerate(ends)]
+    assert rows and sorted(got) == sorted((r.n_tokens, r.ids_crc32, r.positions_crc32, r.file, r.file_row) for r in rows)
     plain = best_fit.pack_best_fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PATH).collect()
-    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, plain), key=str)
+    assert sorted((tuple(r)[:7] for r in rows), key=str) == sorted(map(tuple, plain), key=str)
+    texts = {r.doc_id: encode(r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    pieces = defaultdict(list)
+    for r in rows:
+        assert r.n_tokens == r.cu_seqlens[-1] <= 4096
+        for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            pieces[d].append((s, b - a))
+    for d, ids in texts.items():
+        at = 0
+        for s, n in sorted(pieces.pop(d)):
+            assert s == at
+            at += n
+        assert at == len(ids)
+    assert not pieces
+
+
+@pytest.mark.parametrize("words,each", [(32, 1), (61, 1), (20, 3)])
+def test_what_waits_is_bounded(spark, words, each):
+    """Pieces that fill 52 % or 97 % of a sequence, or fit by threes, over many windows: no window is packed again and again."""
+    import time
+
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("word " * words).alias("text")).coalesce(1)
+    began = time.perf_counter()
+    rows = best_fit.pack_best_fit(docs, PATH, 64, window_tokens=64 * 200).select("doc_ids").collect()
+    assert time.perf_counter() - began < 30
+    assert len(rows) == -(-20_000 // each) and sorted(d for r in rows for d in r.doc_ids) == list(range(20_000))
+
+
+def test_repeated_and_missing_ids(docs_of):
+    """Rows that repeat an id, or have none, are documents of their own; and a very long text."""
+    texts = [(5, "one two"), (5, "one two"), (5, "three"), (None, "four five"), (None, None), (9, "long " * 300_000)]
+    lengths = sorted(len(encode(t)) for _, t in texts)
+    first = packing.pack_documents(docs_of(texts), PATH).collect()
+    assert sorted(r.doc_tokens for r in first if r.start == 0) == lengths and sum(r.length for r in first) == sum(lengths)
+    places = {(r.sequence_id, r.offset) for r in first}
+    assert len(places) == len(first)
+    second = best_fit.pack_best_fit(docs_of(texts), PATH).collect()
+    assert sum(r.n_tokens for r in second) == sum(lengths) and sum(s == 0 for r in second for s in r.starts) == len(texts)
 
 
 def test_matrices_round_trip(docs_of, tmp_path):
@@ -162,8 +223,8 @@ def test_matrices_round_trip(docs_of, tmp_path):
     assert sum(f.rows for f in files) == packed.count()
     tokens = 0
     for f in files:
-        ids = np.fromfile(tmp_path / "m" / f"{f.name}.ids", "<u4").reshape(f.rows, 32)
-        cu = np.fromfile(tmp_path / "m" / f"{f.name}.cu", "<i4")
+        ids = np.fromfile(tmp_path / "m" / f"{f.name}.ids.u4", "<u4").reshape(f.rows, 32)
+        cu = np.fromfile(tmp_path / "m" / f"{f.name}.cu.i4", "<i4")
         ends = [x[-1] for x in np.split(cu, np.flatnonzero(cu == -1) + 1)[:-1] for x in [x[:-1]]]
         assert len(ends) == f.rows and all((row[n:] == 9).all() for row, n in zip(ids, ends))
         tokens += sum(ends)
