@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keystrata.llm import rowset
-from keystrata.llm.common import MIX_A, MIX_B, apart, ascii_words, cut, give_back, hand_out, least_of_group, partitions, ship, text_slices, word_hashes
+from keystrata.llm.common import MIX_A, MIX_B, apart, cut, give_back, hand_out, hashed_words, least_of_group, partitions, parts, ship
 from keystrata.llm.components import components
 
 #: Chance that a pair just at the threshold shares no bucket.
@@ -47,9 +47,8 @@ NO_ID = np.iinfo(np.int64).max
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 
 
-def shingles(words: list[bytes], k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; the whole sequence is one if it is shorter."""
-    a = word_hashes().array(words)
+def shingles(a: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of hashed words; the whole sequence is one if it is shorter."""
     n = len(a)
     if not n:
         return a
@@ -65,6 +64,14 @@ def shingles(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(32)))
 
 
+def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """The shingles of each text."""
+    for _, part in parts(texts, 4_000_000):
+        flat, starts = hashed_words(part)
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield shingles(flat[lo:hi], k)
+
+
 class Permutations:
     """h -> a * h + b on 32 bits, for odd a: `count` of them from a seed."""
 
@@ -98,8 +105,7 @@ def set_digests(texts: DataFrame, k: int, threshold: float) -> DataFrame:
         salt = np.arange(bands, dtype=np.uint64) * MIX_B
         for batch in batches:
             sizes, digests, keys = [], [], []
-            for text in (x for _, part in text_slices(batch) for x in part):
-                s = shingles(ascii_words(text), k)
+            for s in sets_of(batch.column(1), k):
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s):
@@ -122,19 +128,19 @@ def set_digests(texts: DataFrame, k: int, threshold: float) -> DataFrame:
     return texts.mapInArrow(work, schema)
 
 
-def _signed(texts: DataFrame, k: int) -> DataFrame:
-    """Signature and sets of texts (file, text, row)."""
+def _signed(texts: DataFrame, wanted: rowset.RowSet, k: int) -> DataFrame:
+    """Signature and sets of the texts (text, file, row, bucket) whose rows are wanted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         perms = Permutations(SIGNATURE, 23)
         for batch in batches:
-            for part, own in text_slices(batch):
-                signs, sets = [], []
-                for text in own:
-                    s = shingles(ascii_words(text), k)
+            batch = batch.filter(pa.array(wanted.holds(*(batch.column(i).to_numpy() for i in (1, 2, 3)))))
+            for at in range(0, batch.num_rows, 512):
+                part, signs, sets = batch.slice(at, 512), [], []
+                for s in sets_of(part.column(0), k):
                     signs.append(perms.minima(s).astype(np.uint8).tobytes())
                     sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=["file", "row", "sign", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=["file", "row", "sign", "hashes"])
         give_back()
 
     return texts.mapInArrow(work, "file long, row long, sign binary, hashes binary")
@@ -290,9 +296,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
     members = cut(keyed.join(apart(shared.where(F.col("n") <= most).select("bucket")), "bucket").union(keyed.join(hot, "bucket")), "members")
 
     wanted = cut(members.select(F.col("rep").alias("node")).distinct().join(apart(reps), "node").select(F.col("node").alias("rep"), "file", "row"), "wanted")
-    some = docs.where(rowset.build(wanted.select("file", "row")).member(docs))
-    file, row = rowset.place(some)
-    signed = cut(_signed(some.select(file, text, row), k).join(apart(wanted), ["file", "row"]).select("rep", "sign", "hashes"), "signed")
+    held = rowset.build(wanted.select("file", "row"))
+    signed = cut(_signed(docs.select(text, *held.keys(docs)), held, k).join(apart(wanted), ["file", "row"]).select("rep", "sign", "hashes"), "signed")
     labels = components(cut(find_links(members, signed, share), "found"))
 
     # components are told by a row's number; what is reported is the smallest id

@@ -49,16 +49,21 @@ class RowSet:
     def __init__(self, root: str, buckets: int, present: frozenset[int]):
         self.root, self.buckets, self.present = root, buckets, present
 
-    def member(self, docs: DataFrame) -> Column:
-        """Whether a row of a filed frame is in the set."""
+    def keys(self, docs: DataFrame) -> list[Column]:
+        """What holds() takes, of a filed frame: file, row and bucket."""
         file, row = place(docs)
+        return [file, row, _bucket(file, row, self.buckets).alias("bucket")]
+
+    def member(self, docs: DataFrame) -> Column:
+        """Whether a row of a filed frame is in the set. (A mapInArrow above it would need a second worker for each task:
+        there call holds() instead.)"""
         held = self
 
         @F.pandas_udf("boolean")
         def has(file: pd.Series, row: pd.Series, bucket: pd.Series) -> pd.Series:
             return pd.Series(held.holds(file.to_numpy(), row.to_numpy(), bucket.to_numpy()))
 
-        return has(file, row, _bucket(file, row, self.buckets))
+        return has(*self.keys(docs))
 
     def holds(self, file: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         out = np.zeros(len(file), dtype=bool)
