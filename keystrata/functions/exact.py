@@ -61,8 +61,16 @@ def avg_of(c: str, kind: T.DataType) -> Column:
     if shift < 0:  # a precision too small for the scale: the quotient keeps what fits
         raise EngineError("unsupported_aggregate", f"AVG of {kind.simpleString()}")
     whole = quotient_half_even(total, F.nullif(n, F.lit(0)), shift)
-    unit = F.lit(f"1e-{scale}" if scale else "1").cast(f"decimal({scale + 1},{scale})")
-    return (whole.cast("decimal(30,0)") * unit).cast(f"decimal({p},{scale})")
+    return pointed(whole, scale).cast(f"decimal({p},{scale})")
+
+
+def pointed(whole: Column, scale: int) -> Column:
+    """The text of a whole decimal with the point moved left by scale places: exact, however many digits there are."""
+    if not scale:
+        return whole.cast("string")
+    digits = F.abs(whole).cast("string")
+    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(scale + 1)), F.lit("0"))
+    return F.concat(F.when(whole < 0, "-").otherwise(""), F.substring(digits, F.lit(1), F.length(digits) - scale), F.lit("."), F.substring(digits, F.length(digits) - scale + 1, F.lit(scale)))
 
 
 def min_of(c: str) -> Column:

@@ -735,3 +735,119 @@ def key_not_equal(spark, sf):
 def schema_probe(spark, sf):
     s = _db(spark, sf)
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s.describe("SELECT * FROM region").fields], "name string, type string")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 25")
+def foreign_roundtrip(spark, sf):
+    """A table of another database, written over JDBC and read in parallel pieces, the filter done by that database."""
+    from keystrata.sources import foreign
+    from keystrata.sources.scratch import scratch
+
+    url = f"derby:///{scratch(spark, 'derby').removeprefix('file:').lstrip('/')}"
+    rows = t(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    foreign.write(rows.coalesce(2), url, "part_copy")
+    top = rows.agg(F.max("p_partkey")).first()[0]
+    return foreign.read(spark, url, "part_copy", split=("p_partkey", 0, top, 4)).where("p_size > 25")
+
+
+@query("SELECT * FROM (VALUES (1, '2.34', '2024-01-02', '2024-01-02 03:04:05.987', 3.0), (2, '-0.50', '1999-12-31', '1999-12-31 23:59:59.000', 0.25)) v(k, price, day, at, ratio)")
+def engine_implicit_casts(spark, sf):
+    """Literals are fitted to their columns: rounded half to even, parsed, cut to the column's precision."""
+    s = _empty(spark, "CREATE TABLE c (k INT PRIMARY KEY, price NUMERIC(9,2), day DATE, at TIMESTAMP(3), ratio DOUBLE); INSERT INTO c VALUES (1, '2.345', '2024-01-02', '2024-01-02T03:04:05.987654', 3), (2, -0.5, '1999-12-31', '1999-12-31T23:59:59', 0.25)")
+    return s.query("SELECT k, price, day, at, ratio FROM c").select("k", F.col("price").cast("string").alias("price"), F.col("day").cast("string").alias("day"), F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSS").alias("at"), "ratio")
+
+
+@query("SELECT * FROM (VALUES (1, 0, '', '0.00', NULL)) v(k, n, t, d, free)")
+def engine_type_defaults(spark, sf):
+    """Where the engine is told to, NOT NULL columns that an INSERT leaves out take the default of their type."""
+    from keystrata.plans.engine import Engine
+    from keystrata.sources.scratch import scratch
+
+    s = Engine(spark, scratch(spark, "defaults"), compat=frozenset({"default_for_not_null"})).session()
+    s.batch("CREATE TABLE d (k INT PRIMARY KEY, n INT NOT NULL, t TEXT NOT NULL, d NUMERIC(9,2) NOT NULL, free INT); INSERT INTO d (k) VALUES (1)")
+    return s.query("SELECT k, n, t, d, free FROM d").withColumn("d", F.col("d").cast("string"))
+
+
+@query("SELECT k, c.c_name AS name FROM (VALUES (0, 3), (1, 5), (2, 8)) v(k, id) JOIN customer c ON c.c_custkey = v.id")
+def engine_prepared(spark, sf):
+    """One template, bound three times."""
+    p = _db(spark, sf).prepare("SELECT c_name FROM customer WHERE c_custkey = $1")
+    rows = [(k, p.bind(i).query().first().c_name) for k, i in enumerate((3, 5, 8))]
+    return spark.createDataFrame(rows, "k int, name string")
+
+
+@query("SELECT * FROM (VALUES (1, 30, 'ada'), (2, 15, 'bob')) v(user_id, balance, name)")
+def wallet_transfers(spark, sf):
+    from keystrata.procs import wallet
+
+    s = _empty(spark)
+    s.engine.install(wallet)
+    call = lambda name, *args: s.engine.invoke("wallet", "wallet", name, *args)
+    for user, name in ((1, "ada"), (2, "bob"), (3, "cyd")):
+        call("create_user", user, name, f"{name}@example.org")
+    call("deposit", 1, 50)
+    call("transfer", 1, 2, 20)
+    call("withdraw", 2, 5)
+    call("delete_user", 3)
+    try:
+        call("purchase", 2, 99, 1)
+    except (EngineError, TypeError):
+        pass
+    return s.query("SELECT w.user_id, w.balance, u.name FROM wallets w JOIN wallet_users u ON w.user_id = u.user_id")
+
+
+@query("SELECT 'v1+more' AS changed, 'user:a=v1+more,user:b=v2' AS listed, false AS gone_found, 'kv_insert,kv_read,kv_read_modify_write,kv_scan,kv_update' AS procedures")
+def key_value_procedures(spark, sf):
+    """The key/value package: insert, read-modify-write, a scan of a range, and a key that is not there."""
+    from keystrata.procs.ycsb import KV
+
+    s = _empty(spark)
+    names = s.engine.install(KV)
+    call = lambda name, *args: s.engine.invoke("kv", "kv", f"kv_{name}", *args)
+    for k, v in (("a", "v1"), ("b", "v2"), ("d", "v4")):
+        call("insert", k, v)
+    changed = call("read_modify_write", "a", "+more")
+    try:
+        call("update", "x", "1")
+        found = True
+    except EngineError:
+        found = False
+    return spark.createDataFrame([(changed, ",".join(call("scan", "a", "c")), found, ",".join(names))], "changed string, listed string, gone_found boolean, procedures string")
+
+
+@query("SELECT n_nationkey AS id, n_name AS label FROM nation WHERE n_regionkey = 2")
+def engine_entities(spark, sf):
+    """Rows as objects of a class and back."""
+    import dataclasses
+
+    @dataclasses.dataclass
+    class Nation:
+        n_nationkey: int
+        n_name: str
+        n_regionkey: int
+
+    own = _db(spark, sf).entities("nation", Nation, {"n_regionkey": 2})
+    s = _empty(spark, "CREATE TABLE copy (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT)")
+    s.begin()
+    for x in own:
+        s.put_entity("copy", x)
+    s.commit()
+    return s.query("SELECT n_nationkey AS id, n_name AS label FROM copy")
+
+
+@query("SELECT true AS there, false AS other")
+def key_exists(spark, sf):
+    rows = _events_kv(spark, sf)
+    return spark.createDataFrame([(kv.exists(rows, b"k00000007"), kv.exists(rows, b"nothing"))], "there boolean, other boolean")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def engine_copy_statements(spark, sf):
+    """COPY of a table to a file and from it into another."""
+    from keystrata.sources.scratch import scratch
+
+    s, path = _empty(spark, "CREATE TABLE a (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT); CREATE TABLE b (n_nationkey INT PRIMARY KEY, n_name TEXT, n_regionkey INT)"), scratch(spark, "copy")
+    s.insert_frame("a", t(spark, sf, "nation"))
+    s.execute(f"COPY a TO '{path}'")
+    s.execute(f"COPY b FROM '{path}'")
+    return s.query("SELECT * FROM b")

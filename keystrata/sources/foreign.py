@@ -14,15 +14,19 @@ DRIVERS = {
     "postgres": ("jdbc:postgresql://", "org.postgresql.Driver"),
     "postgresql": ("jdbc:postgresql://", "org.postgresql.Driver"),
     "mysql": ("jdbc:mysql://", "com.mysql.cj.jdbc.Driver"),
+    "derby": ("jdbc:derby:", "org.apache.derby.jdbc.EmbeddedDriver"),
 }
 
 
 def options(url: str) -> dict[str, str]:
-    """JDBC options of sqlite:///file, postgres://user:pass@host:port/db and mysql://..."""
+    """JDBC options of sqlite:///file, postgres://user:pass@host:port/db, mysql://... and derby:///folder (which comes with
+    Spark, and is made where it is missing)."""
     u = urlsplit(url)
     if u.scheme not in DRIVERS:
         raise EngineError("unsupported", f"connection scheme {u.scheme}")
     prefix, driver = DRIVERS[u.scheme]
+    if u.scheme == "derby":
+        return {"url": f"{prefix}{u.path};create=true", "driver": driver}
     out = {"url": prefix + (u.path[1:] if u.scheme == "sqlite" else f"{u.hostname or 'localhost'}{f':{u.port}' if u.port else ''}{u.path}"), "driver": driver}
     out |= {k: v for k, v in (("user", u.username), ("password", u.password)) if v} | dict(parse_qsl(u.query))
     return out

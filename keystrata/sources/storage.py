@@ -94,6 +94,10 @@ class Storage:
         (df.sortWithinPartitions(*key) if key else df).write.parquet(f"{self.root}/{path}")
         return path
 
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows written beside a table's data, for a commit to come; no manifest names them, so vacuum() takes them away."""
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._write(name, df)}")
+
     def _write_base(self, name: str, df: DataFrame, catalog: Catalog, version: int, key: tuple[str, ...]) -> dict:
         """Rows by key range, sorted by key; in a folder for each partition where a rule is bound."""
         path = f"data/{name}/{uuid.uuid4().hex}"

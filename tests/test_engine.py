@@ -185,6 +185,9 @@ def test_copy(session, tmp_path):
     s.execute("CREATE TABLE p (id INT PRIMARY KEY, name TEXT)")
     assert s.execute(f"COPY p FROM '{tmp_path}/in.csv'") == 2
     assert rows(s.query("SELECT id, name FROM p")) == [(1, "Alice"), (2, "Bob")]
+    (tmp_path / "lines.csv").write_text('id,name\n3,"two\nlines"\n4,"a ""quoted"" one"\n')
+    assert s.execute(f"COPY p FROM '{tmp_path}/lines.csv'") == 2
+    assert rows(s.query("SELECT id, name FROM p WHERE id > 2")) == [(3, "two\nlines"), (4, 'a "quoted" one')]
 
 
 def test_partitions(engine):
@@ -294,6 +297,20 @@ def test_foreign_urls():
         options("oracle://x")
 
 
+def test_foreign_tables(spark, tmp_path):
+    from keystrata.sources import foreign
+
+    url = f"derby://{tmp_path}/db"
+    foreign.write(spark.range(100).selectExpr("id as k", "cast(id % 7 as int) as v"), url, "numbers")
+    df = foreign.read(spark, url, "numbers", split=("k", 0, 100, 3)).where("v = 3").select("k")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() == 3 and "EqualTo(v,3)" in plan
+    assert rows(df) == sorted(((i,) for i in range(100) if i % 7 == 3), key=str)
+    assert foreign.read(spark, url, query="SELECT count(*) AS n FROM numbers").first()[0] == 100
+    foreign.write(spark.range(5).selectExpr("id as k", "1 as v"), url, "numbers", "overwrite")
+    assert foreign.read(spark, url, "numbers").count() == 5
+
+
 def test_key_value(engine):
     s = engine.session()
     for k, v in ((b"b", b"2"), (b"a", b"1"), (b"c", b"3")):

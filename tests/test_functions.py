@@ -91,6 +91,13 @@ def test_average_is_half_even(spark, values):
     assert got == Decimal(round(Fraction(sum(values), len(values)) * 10**6)).scaleb(-6)
 
 
+def test_points_and_many_digits(spark):
+    df = spark.createDataFrame([(Decimal(x),) for x in ("5", "-5", "0", "123456789012345678901234567890", "-1234567")], "w decimal(38,0)")
+    assert [r.t for r in df.select(exact.pointed(F.col("w"), 6).alias("t")).collect()] == ["0.000005", "-0.000005", "0.000000", "123456789012345678901234.567890", "-1.234567"]
+    wide = spark.createDataFrame([(Decimal("99999999999999999999.25"),), (Decimal("99999999999999999999.75"),)], "x decimal(30,2)")
+    assert exact.aggregate(wide, [("avg", "x", "m")]).first().m == Decimal("99999999999999999999.5")
+
+
 def test_duplicate_names(spark):
     with pytest.raises(EngineError):
         exact.aggregate(spark.range(1), [("sum", "id", "s"), ("sum", "id", "s")])
