@@ -47,13 +47,14 @@ def brute(train, docs, order):
     return out, p, raw
 
 
-@pytest.mark.parametrize("order,stretch", [(1, 2_000_000), (2, 2_000_000), (2, 50), (3, 200)])
-def test_against_brute_force(docs_of, monkeypatch, order, stretch):
+@pytest.mark.parametrize("order,stretch,buckets", [(1, 2_000_000, None), (2, 2_000_000, None), (2, 50, 40), (3, 200, 7), (3, 2_000_000, 60)])
+def test_against_brute_force(docs_of, monkeypatch, order, stretch, buckets):
+    """With many buckets most words are hot, with few hardly any."""
     monkeypatch.setattr(L, "STRETCH", stretch)
     docs = docs_of(TEXTS, clash=["score"])
     train = docs.where(~L.held_out("doc_id"))
     kept = [t for i, t in enumerate(TEXTS) if zlib.crc32(str(i).encode()) % 10]
-    got = L.score_documents(docs, L.train(train.select("text"), order)).collect()
+    got = L.score_documents(docs, L.train(train.select("text"), order, buckets)).collect()
     want, p, raw = brute(kept, list(enumerate(TEXTS)), order)
     assert len(got) == len(TEXTS)
     for r in got:
@@ -75,6 +76,23 @@ def test_null_and_repeated_ids(docs_of):
     assert len(got) == 3 and len({round(r.score, 9) for r in got}) == 1
 
 
+def test_hot_words_and_the_shared_folder(docs_of, monkeypatch):
+    texts = docs_of(["the cat the dog", "the end"]).select("text")
+    hot = L.hot_words(texts, 1)
+    the = L.scattered(L.word_hashes().array([b"the"]))[0]
+    assert set(hot) == {the, L.scattered(np.array([L.BEGIN]))[0]} and L.is_hot(np.array([the, the + np.uint64(1)]), hot).tolist() == [True, False]
+    monkeypatch.setattr(L, "fresh_path", lambda spark, label: "s3://bucket/lm")
+    with pytest.raises(ValueError, match="mount"):
+        L.train(texts)
+
+
+def test_a_very_long_text(docs_of):
+    long = " ".join(f"w{i % 1000}" for i in range(300_000))
+    docs = docs_of([(1, long), (2, "w1 w2"), (3, None)])
+    got = {r.doc_id: r for r in L.score_documents(docs, L.train(docs.select("text"))).collect()}
+    assert (got[1].n_tokens, got[1].n_known, got[2].n_tokens, got[3].n_tokens) == (300_001, 300_001, 3, 1)
+
+
 def test_counts_beyond_a_byte_and_blocks():
     counts = np.array([1, 254, 255, 70_000])
     cols = [np.arange(4, dtype=np.uint64), np.arange(4, dtype=np.uint64) << np.uint64(30)]
@@ -95,5 +113,5 @@ def test_store_in_other_file_systems(tmp_path, monkeypatch):
     from keystrata.llm import common
 
     monkeypatch.setattr(common, "local_path", lambda uri: None)
-    L.store(f"file://{tmp_path}/a/b.words", b"12345678")
+    common.store(f"file://{tmp_path}/a/b.words", b"12345678")
     assert (tmp_path / "a/b.words").read_bytes() == b"12345678" and len(list((tmp_path / "a").iterdir())) == 1
