@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -88,6 +89,7 @@ def test_no_limits_and_no_blow_up():
     assert timed("x" * 1_000_000 + "_token = 'Zx81kQpL9mN2vB7c'") == ["Zx81kQpL9mN2vB7c"]
     assert timed("x" * 1_000_000) == [] and timed("a." * 500_000 + "b") == [] and timed("7" * 1_000_000 + "=") == []
     assert timed('a = "Zx81kQpL9mN2vB7c"\n' + "a = a + a\n" * 1000 + "token = a") == ["Zx81kQpL9mN2vB7c"]
+    assert timed('a = "Zx81kQpL9mN2vB7c"\n' + "a = a + a\n" * 100_000 + 'b = a + "x"\ntoken = b + a') == ["Zx81kQpL9mN2vB7c", "x"]
     grown = timed('s = "Zx81kQpL9mN2vB7c"\n' + "".join(f's = s + "q{i}Kx"\n' for i in range(20_000)) + "token = s")
     assert len(grown) == 20_001
     assert timed("".join(f"[s{i}]\nkey = value\n" for i in range(100_000)) + "[auth]\nkey = Zx81kQpL9mN2vB") == ["Zx81kQpL9mN2vB"]
@@ -113,3 +115,68 @@ def test_documents(docs_of):
 def test_redaction():
     text = "token = 'abcdefghijklmnop' end"
     assert S.redacted(text, S.base_spans(text)) == "[SECRET]' end"
+
+
+def test_registered_query_against_plain_patterns(spark):
+    from keystrata.llm.queries import op10_secrets
+
+    from ..conftest import SF
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    found = 0
+    for r in op10_secrets(spark, SF).collect():
+        base = brute(texts[r.doc_id] or "")
+        found += len(base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in base) for j in range(3))
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(text.split(",")) - {""} <= set(spans) and len(spans) == len(base) + r.n_literal
+    assert found
+
+
+WEIGHT = {"token": 2.5, "secret": 3.0, "private": 1.0, "key": 1.5, "name": -1.0, "title": 0.0, "limit": -2.0, "password": 3.0}
+
+
+def plainly(lines):
+    """Spans of a program of `name = part + part` lines, each part a string's text or a name, by whole expansion."""
+    at, known, out = 0, {}, set()
+    for name, parts in lines:
+        at += len(name) + 3
+        value, spans = "", []
+        for k, (kind, x) in enumerate(parts):
+            at += 3 * (k > 0)
+            if kind == "lit":
+                value, spans = value + x, [*spans, (at + 1, at + 1 + len(x))]
+                at += len(x) + 2
+            else:
+                value, spans = value + known[x][0], spans + known[x][1]
+                at += len(x)
+        known[name] = value, spans
+        at += 1
+        own = sum(WEIGHT[w] for w in name.split("_"))
+        n = len(value)
+        entropy = -sum(value.count(c) / n * math.log2(value.count(c) / n) for c in set(value))
+        kinds = sum(any(f(c) for c in value) for f in (lambda c: c.islower(), lambda c: c.isupper(), str.isdigit, lambda c: not c.isalnum()))
+        look = min(n, 32) / 16 + (entropy - 2.5) / 1.5 + 0.4 * (kinds - 1) if n >= 8 and " " not in value else -2.0
+        if own >= 1.5 and own + look >= S.THRESHOLD:
+            out |= {(lo, 3, hi) for lo, hi in spans}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_literals_against_whole_expansion(seed):
+    rng = random.Random(seed)
+    names = ["token", "secret", "private_key", "key_name", "title", "limit", "password", "secret_limit"]
+    lines, known = [], []
+    for _ in range(rng.randint(1, 12)):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            if known and rng.random() < 0.5:
+                parts.append(("name", rng.choice(known)))
+            else:
+                parts.append(("lit", "".join(rng.choice("aZ3x-9Qm ") for _ in range(rng.choice([3, 8, 20])))))
+        lines.append((rng.choice(names), parts))
+        known.append(lines[-1][0])
+    text = "".join(f"{n} = " + " + ".join(f'"{x}"' if kind == "lit" else x for kind, x in parts) + "\n" for n, parts in lines)
+    assert S.literal_spans(text) == plainly(lines)
