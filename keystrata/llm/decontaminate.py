@@ -9,13 +9,15 @@ What is sent is bounded: at most MOST_WINDOWS (window, item) rows at a time. A l
 that size, the documents are scanned once for each block, and the hits of a document are merged.
 
 Defined results: null or empty texts and items have no words; other columns are not read; rows that repeat a doc_id
-with the same text share an answer; an empty benchmark hits nothing; items with a null item_id hit words like any other,
+are scanned each; no documents give no rows; a very long text is scanned whole, and a tie cannot arise, as all windows count;
+an empty benchmark hits nothing; items with a null item_id hit words like any other,
 count together as one item, and have no place in items_sha256 (as in the SQL).
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -222,9 +224,10 @@ def without_contaminated(docs: DataFrame, bench: DataFrame, n: int = 8, least_it
     least_run = least_run or n
     at = docs.columns.index(text_col)
     if blocks > 1:  # items of several blocks add up, so look at all of them first
-        marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        hits = report_runs(scan(marked.select(F.col("_row").alias("doc_id"), text_col), bench, n, text_col=text_col), least_items, least_run)
-        return marked.join(hits, marked["_row"] == hits["doc_id"], "left_anti").drop("_row")
+        number = next(x for x in ("_row" + "_" * k for k in itertools.count()) if x not in {c.lower() for c in docs.columns})
+        marked = cut(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+        hits = report_runs(scan(marked.select(F.col(number).alias("doc_id"), text_col), bench, n, text_col=text_col), least_items, least_run)
+        return marked.join(hits, marked[number] == hits["doc_id"], "left_anti").drop(number)
     sent = spark.sparkContext.broadcast(Index([(r.item, bytes(r.window)) for r in keyed.collect()]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

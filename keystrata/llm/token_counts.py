@@ -6,16 +6,21 @@ them as context, goes on leaf by leaf until a pre-token ends where an untouched
 pre-tokens stand, as a pre-token depends only on what follows its start), and updates the sums on the way up. The total
 is at the root.
 
+count_with_edits builds trees and edits them in one pass; build_trees keeps them as rows, which edit_trees takes with a later
+batch of edits and gives back edited.
+
 A pre-token depends on at most LOOK characters beyond its end, so leaves whose text ends that far before an edit stand.
 
 Defined results: a null or empty text has 0 tokens; null edits mean none; edits are applied in order, each to the text
-that the one before has left; bounds outside the text are moved to its ends; rows that repeat a doc_id are counted each.
+that the one before has left; bounds outside the text are moved to its ends; rows that repeat a doc_id, or have none, are
+counted each; a very long text is one tree of its task; no rows give no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +123,31 @@ class TokenTree:
             self.tokens[i] += tokens
             i //= 2
 
+    def dumped(self) -> bytes:
+        """The leaves: their sizes and numbers of tokens, then the text."""
+        texts, tokens = self.texts, self.tokens[self.size :]
+        own = [k for k in range(self.size) if texts[k]]
+        head = np.array([len(own), *(len(texts[k]) for k in own), *(tokens[k] for k in own)], dtype="<i8")
+        return head.tobytes() + "".join(texts).encode("utf-8", "surrogatepass")
+
+    @classmethod
+    def loaded(cls, data: bytes, counter: Counter, leaf: int = LEAF) -> TokenTree:
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        head = np.frombuffer(data, "<i8", 2 * n, 8).tolist()
+        text, at, leaves = data[8 * (2 * n + 1) :].decode("utf-8", "surrogatepass"), 0, []
+        for size, tokens in zip(head[:n], head[n:], strict=True):
+            leaves.append((text[at : at + size], tokens))
+            at += size
+        tree = cls.__new__(cls)
+        tree.counter, tree.leaf = counter, leaf
+        tree._build(leaves)
+        return tree
+
+    def change(self, edits: list[dict | None] | None) -> None:
+        for c in edits or ():
+            if c is not None:
+                self.edit(c["start"] or 0, c["end"] if c["end"] is not None else c["start"] or 0, c["text"] or "")
+
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replace the characters start..end."""
         start = min(max(start, 0), self.length)
@@ -179,11 +209,41 @@ def count_with_edits(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 before = own.encoded
                 tree = TokenTree(text or "", own)
                 built, total = own.encoded, tree.total
-                for c in changes or ():
-                    if c is not None:
-                        tree.edit(c["start"] or 0, c["end"] if c["end"] is not None else c["start"] or 0, c["text"] or "")
+                tree.change(changes)
                 for column, value in zip(columns, (tree.length, total, tree.total, built - before, own.encoded - built), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "n_chars_edited", "n_tokens", "n_tokens_edited", "n_pretokens", "n_reencoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), edits.alias("edits")).mapInArrow(work, SCHEMA)
+
+
+TREE = "doc_id long, tree binary, n_tokens long"
+
+
+def _trees(rows: DataFrame, ranks_path: str, pattern: str, make) -> DataFrame:
+    """rows (doc_id, text or tree, edits) to trees."""
+    ship(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = counter(ranks_path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                trees = []
+                for x, changes in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    trees.append(make(x, own))
+                    trees[-1].change(changes)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.dumped() for t in trees], pa.binary()), pa.array([t.total for t in trees], pa.int64())], names=["doc_id", "tree", "n_tokens"])
+
+    return rows.mapInArrow(work, TREE)
+
+
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each text: doc_id, its tree, n_tokens. Write it, for edits to come."""
+    none = F.lit(None).cast("array<struct<start:int,end:int,text:string>>")
+    return _trees(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), none), ranks_path, pattern, lambda x, own: TokenTree(x or "", own))
+
+
+def edit_trees(trees: DataFrame, ranks_path: str, pattern: str, edits_col: str = "edits") -> DataFrame:
+    """Trees (doc_id, tree, and an array of edits) after their edits; only what the edits touch is encoded."""
+    return _trees(trees.select("doc_id", "tree", edits_col), ranks_path, pattern, TokenTree.loaded)

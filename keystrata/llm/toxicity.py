@@ -8,8 +8,7 @@ pairs costs no more than the terms: ((sum v)^2 - sum v^2) / 2.
 Linear weights are learnt with an L1 penalty (follow-the-regularised-leader), so that the terms of neutral prose get none.
 Vectors are learnt for every term that is met often enough, whatever its linear weight, as a term that is neutral alone may
 weigh in a pair; a penalty of their own takes the vectors of terms without a weight that pair with nothing
-back to zero. Terms with neither
-weight nor vector drop out of the machine, and scoring passes over them.
+back to zero. Terms with neither weight nor vector drop out of the machine, and scoring passes over them.
 
 Long texts are taken in windows and the most toxic one decides, so a few sentences are not diluted by the rest.
 
@@ -19,8 +18,9 @@ Every row is scored. Score = sigmoid; labels, language,
 source and id are never features.
 
 Defined results: a null or empty text has no terms and gets the bias's score; no labelled rows give a model that scores
-every text alike; rows that repeat a doc_id are scored each; other columns are not read; a label that is null or for no
-document is left out.
+every text alike; an empty table gives no rows; rows that repeat a doc_id, or have none, are scored each, and a label of an id
+holds for each of its rows; ids with several labels take one of them; very long texts are learnt from and scored whole; other
+columns are not read, whatever their names; a label that is null, or for no document, is left out.
 """
 
 from __future__ import annotations

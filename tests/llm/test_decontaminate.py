@@ -64,9 +64,9 @@ def test_odd_tables(docs_of, bench):
 @pytest.mark.parametrize("most", [300_000, 25])
 def test_documents_are_removed(docs_of, bench, monkeypatch, most):
     monkeypatch.setattr(D, "MOST_WINDOWS", most)
-    docs = docs_of(DOCS)
+    docs = docs_of(DOCS, clash=["_row", "hits", "block"])
     left = D.without_contaminated(docs, bench)
-    assert left.columns == docs.columns
+    assert left.columns == docs.columns and {r["_row"] for r in left.collect()} == {"clash"}
     kept = {r.doc_id for r in left.collect()}
 
     def bad(text):
@@ -83,6 +83,12 @@ def test_documents_are_removed(docs_of, bench, monkeypatch, most):
             assert i in kept
 
 
+def test_a_very_long_text(docs_of, bench):
+    long = "filler " * 200_000 + ITEMS[0][1] + " filler" * 1000
+    got = {r.doc_id: r for r in D.report(D.scan(docs_of([long, "filler"]), bench)).collect()}
+    assert got[0].n_words == 201_000 + len(words(ITEMS[0][1])) and got[0].n_hit >= 40 and got[1].n_hit == 0
+
+
 def test_spans_are_removed():
     text = "keep ONE, two; three keep"
     assert D.without_spans(text, [1, 4]) == "keep  keep"

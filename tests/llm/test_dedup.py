@@ -183,3 +183,22 @@ def test_row_sets(spark, docs_of, tmp_path):
     assert rowset.without(docs, some.where("false")).count() == docs.count()
     plan = left._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_registered_queries_against_brute_force(spark):
+    """All documents of the smallest folder, all pairs."""
+    from keystrata.llm.queries import op4_near_dedup, op6_exact_dedup
+
+    from ..conftest import SF
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    want = brute_near(sorted(texts.items()), 3, Fraction(85, 100))
+    got = op4_near_dedup(spark, SF).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(texts)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    norm = {i: re.sub("[ \t-\r]+", " ", t or "") for i, t in texts.items()}
+    least, count = {}, Counter(norm.values())
+    for i in sorted(norm):
+        least.setdefault(norm[i], i)
+    rows = op6_exact_dedup(spark, SF).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows} == {i: (least[x], count[x], least[x] == i) for i, x in norm.items()}

@@ -47,6 +47,27 @@ def test_hot_and_odd_keys(spark):
     assert check(shard_by_bytes(odd.where("key = 1"), "key", "size", 16).collect(), 16).count(2) == 1
 
 
+def test_registered_query_against_brute_force(spark):
+    """Every column of op9, from the texts: a row lies right of a splitter if half of its own bytes do."""
+    import zlib
+
+    from keystrata.llm.queries import op9_sharding
+
+    from ..conftest import SF
+
+    docs = sorted(((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    total, below, want, slots = sum(len(t) + 1 for _, t in docs), 0, [], [0] * 16
+    for i, t in docs:
+        size = len(t) + 1
+        shard = sum(2 * (total * j // 16) <= 2 * below + size for j in range(1, 16))
+        want.append((i, size, zlib.crc32(t), "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        below += size
+    out = op9_sharding(spark, SF)
+    assert sorted(map(tuple, out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect())) == want
+    assert "Python" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "Arrow" not in plan
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.range(100).select(F.col("id").alias("key"), F.lit(1).alias("size"))
     plan = shard_by_bytes(df, "key", "size", 4)._jdf.queryExecution().executedPlan().toString()

@@ -52,3 +52,23 @@ def test_documents(docs_of, counter):
     plain = C.count_with_edits(docs, PATH, PATTERN).collect()
     assert all(r.n_tokens == r.n_tokens_edited and r.n_reencoded == 0 for r in plain)
     assert C.count_with_edits(docs.where("doc_id < 0"), PATH, PATTERN).count() == 0
+
+
+def test_kept_trees_take_later_edits(spark, docs_of, counter, tmp_path):
+    """Built, written, read, edited, and edited again; a very long text, repeated and missing ids among them."""
+    texts = [*TEXTS, None, "many words, " * 50_000]
+    docs = docs_of([*enumerate(texts), (3, "again"), (None, "no id")], clash=["tree", "edits"])
+    C.build_trees(docs, PATH, PATTERN).write.parquet(str(tmp_path / "trees"))
+    kept = spark.read.parquet(str(tmp_path / "trees"))
+    assert sorted(r.n_tokens for r in kept.collect()) == sorted(len(counter.encoding.encode_ordinary(t or "")) for t in [*texts, "again", "no id"])
+    edit = lambda s: F.expr(s).cast(EDITS)
+    once = C.edit_trees(kept.withColumn("edits", edit("array(struct(1 as start, 3 as end, 'XY z' as text))")), PATH, PATTERN)
+    twice = C.edit_trees(once.withColumn("edits", edit("if(doc_id = 1, null, array(struct(0 as start, 0 as end, 'front ' as text), null))")), PATH, PATTERN)
+    got = {r.doc_id: r for r in twice.collect() if r.doc_id != 3}
+    for i, t in [*enumerate(texts), (None, "no id")]:
+        if i != 3:
+            want = (t or "")[:1] + "XY z" + (t or "")[3:]
+            want = want if i == 1 else "front " + want if i is not None else want
+            tree = C.TokenTree.loaded(bytes(got[i].tree), counter)
+            assert tree.text() == want or i is None
+            assert got[i].n_tokens == tree.total == len(counter.encoding.encode_ordinary(tree.text()))

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -104,3 +106,69 @@ def test_no_labels_and_empty_table(spark, docs_of):
     m = T.train(docs, none)
     assert {r.score for r in T.score_documents(docs, m).collect()} == {0.5}
     assert T.score_documents(docs.where("doc_id < 0"), m).count() == 0
+
+
+def plain_score(m, text):
+    """The most toxic window's probability, term by term and pair by pair."""
+    words = re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())
+    words = [w.lower() for w in words]
+    cuts = [words] if len(words) <= T.WINDOW else [words[a : a + T.WINDOW] for a in range(0, len(words) - T.WINDOW // 2, T.WINDOW // 2)]
+    best = -math.inf
+    for w in cuts:
+        own = sorted({T.slot_of(x, 1) for x in w} | {T.slot_of(x[: T.PREFIX], 2) for x in w})
+        own = [s for s in own if m.w[s] or m.v[s].any()]
+        best = max(best, m.bias + sum(m.w[s] for s in own) + sum(m.v[a] @ m.v[b] for i, a in enumerate(own) for b in own[i + 1 :]))
+    return 1 / (1 + math.exp(-best))
+
+
+def test_registered_query_against_brute_force(spark):
+    from keystrata.llm.queries import op8_toxicity
+
+    from ..conftest import SF
+
+    docs, labels = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "labels"))
+    m = T.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = op8_toxicity(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(plain_score(m, texts[r.doc_id]), abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+
+
+def test_first_step_against_plain_arithmetic():
+    """One batch, weights and vectors at once: the weights by follow-the-regularised-leader, the vectors by gradients of all
+    pairs, those of terms without a weight shrunk."""
+    slots, r = T.Slots(), random.Random(3)
+    texts = [(" ".join(r.choice(["bad", "worse", "good", "fine", "so"]) for _ in range(3)), i % 2) for i in range(20)]
+    old, T.L1 = T.L1, 1.5
+    try:
+        m = T.fit([(T.terms(t, slots).tobytes(), y) for t, y in texts], seed=8, epochs=1, batch=99, rate=0.05)
+    finally:
+        T.L1 = old
+    sets = [sorted({s for w in t.encode().split() for s in (T.slot_of(w, 1), T.slot_of(w[: T.PREFIX], 2))}) for t, _ in texts]
+    common = sorted({s for own in sets for s in own if sum(s in x for x in sets) >= T.LEAST_TEXTS})
+    first = dict(zip(common, np.random.default_rng(8).normal(0, 0.05, (len(common), T.FACTORS))))
+    sets = [[s for s in own if s in first] for own in sets]
+    pairs = [sum(first[a] @ first[b] for i, a in enumerate(own) for b in own[i + 1 :]) for own in sets]
+    err = [1 / (1 + math.exp(-x)) - y for x, (_, y) in zip(pairs, texts)]
+    assert any(m.w[s] for s in common) and not all(m.w[s] for s in common)
+    for s in common:
+        g = sum(e for own, e in zip(sets, err) if s in own)
+        want = 0.0 if abs(g) <= 1.5 else -(g - math.copysign(1.5, g)) / ((1 + abs(g)) / T.RATE + T.L2)
+        assert m.w[s] == pytest.approx(want)
+        dv = sum((e * sum((first[t] for t in own if t != s), np.zeros(T.FACTORS)) for own, e in zip(sets, err) if s in own), np.zeros(T.FACTORS)) + 0.01 * first[s]
+        step = 0.05 / np.sqrt(T.CALM + dv**2)
+        moved = first[s] - step * dv
+        if not want:
+            moved = moved * max(0.0, 1 - T.SHRINK * step.mean() / np.sqrt((moved**2).sum()))
+        assert m.v[s] == pytest.approx(moved)
+    assert m.bias == pytest.approx(-0.1 * sum(err) / (1 + math.sqrt(sum(err) ** 2)))
+
+
+def test_repeated_and_missing_ids(spark, docs_of):
+    """Each row is scored; a label for an id holds for each of its rows."""
+    docs = docs_of([(1, "some words"), (1, "other words"), (None, "blargh"), (None, None)], clash=["score", "label", "slots"])
+    m = T.train(docs, spark.createDataFrame([(1, 0), (None, 1)], "doc_id long, toxic int"))
+    got = T.score_documents(docs, m).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 1] and all(0 <= r.score <= 1 for r in got)
