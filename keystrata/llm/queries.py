@@ -40,6 +40,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=Fraction(85, 100)).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+     sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+     pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     links AS (SELECT x, y, c = nx.n AND c = ny.n AS same FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+     reach(doc_id, low) AS (SELECT doc_id, doc_id FROM documents
+                            UNION SELECT e.y, r.low FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) e ON e.x = r.doc_id WHERE r.low < e.y),
+     comp AS (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id),
+     class AS (SELECT y AS doc_id, min(x) AS class_id FROM links WHERE same GROUP BY y)
+SELECT comp.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, comp.doc_id = component_id AS kept, coalesce(class_id, comp.doc_id) AS class_id
+FROM comp LEFT JOIN n ON n.doc_id = comp.doc_id LEFT JOIN class ON class.doc_id = comp.doc_id
+"""
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=8), least_items=2)
 
@@ -101,6 +116,18 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: CRC-32 by half bytes, low half first; the sixteen numbers are its table (fixed values). A row lies right of a splitter if
+#: half of its own bytes do.
+OP9_SQL = r"""
+WITH b AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, string_split(hex(encode(coalesce(text, ''))), '') AS h FROM documents),
+     crc AS (SELECT doc_id, size, CAST(xor(4294967295, list_reduce(list_transform(range(0, 2 * (size - 1)), lambda i: CAST(strpos('0123456789ABCDEF', h[xor(i, 1) + 1]) - 1 AS BIGINT)),
+                    lambda a, x: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(a, x) & 15) + 1]), CAST(4294967295 AS BIGINT))) AS BIGINT) AS text_crc32 FROM b),
+     c AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id) AS BIGINT) - size AS below, CAST(sum(size) OVER () AS BIGINT) AS total FROM crc),
+     s AS (SELECT *, CAST(len(list_filter(range(1, 16), lambda j: 2 * (total * j // 16) <= 2 * below + size)) AS INTEGER) AS shard FROM c)
+SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal")
 
@@ -119,6 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_near_dedup": OP4_SQL,
+    "op9_sharding": OP9_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
