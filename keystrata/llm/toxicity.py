@@ -13,7 +13,9 @@ back to zero. Terms with neither weight nor vector drop out of the machine, and
 Long texts are taken in windows and the most toxic one decides, so a few sentences are not diluted by the rest.
 
 Learning takes at most `most` labelled rows (those with the smallest hashes of their id, so that it does not depend on
-how the table is split), and all windows of each; the driver holds up to 16 bytes for each of their words and the model.
+how the table is split), and all windows of each. The driver holds up to 16 bytes for each of their words, 8 more until all
+windows are made or in the two rounds that take whole texts, and weights, vectors and their sums of the learnt terms only;
+it gives that memory back when the machine is made.
 Every row is scored. Score = sigmoid; labels, language,
 source and id are never features.
 
@@ -25,7 +27,7 @@ columns are not read, whatever their names; a label that is null, or for no docu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,32 +141,36 @@ class Machine:
         return 1 / (1 + np.exp(-best))
 
 
-def fit(rows: list[tuple[bytes, int]], seed: int = 5, epochs: int = 12, batch: int = 32, rate: float = 0.05) -> Machine:
+def fit(rows: Iterable[tuple[bytes, int]], seed: int = 5, epochs: int = 12, batch: int = 32, rate: float = 0.05) -> Machine:
     """Learn from (codes as int64 bytes, label). A toxic text is toxic somewhere: its most toxic window is what a step
     learns from, so clean windows of a toxic text are not taught as toxic; of a clean text it is that window too. The first
     two rounds take whole texts, as no window is known yet to be the one."""
-    machine = Machine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
-    if not rows:
-        return machine
-    labels = np.array([y for _, y in rows], dtype=np.float64)
+    parts, labels, texts = [], [], np.zeros(BUCKETS, dtype=np.int32)
+    for x, y in rows:  # none is kept: a generator's are gone after this
+        parts.append(windows(np.frombuffer(x, dtype=np.int64)))
+        labels.append(y)
+        texts[np.unique(np.concatenate(parts[-1]))] += 1
+    if not parts:
+        return Machine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+    labels = np.array(labels, dtype=np.float64)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    machine.bias = float(np.log(share / (1 - share)))
-    w, v = machine.w, machine.v
-    parts = [windows(np.frombuffer(x, dtype=np.int64)) for x, _ in rows]
-    texts = np.zeros(BUCKETS, dtype=np.int64)
+    kept = np.flatnonzero(texts >= LEAST_TEXTS)  # the terms that are learnt; from here on a term is its place there
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[kept] = np.arange(len(kept))
     for p in parts:
-        texts[np.unique(np.concatenate(p))] += 1
-    common = texts >= LEAST_TEXTS
-    parts = [[x[common[x]] for x in p] for p in parts]
+        p[:] = [at[at >= 0] for at in (place[x] for x in p)]
     whole = [[np.unique(np.concatenate(p))] for p in parts]
-    z, n, bias_n = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0
-    g_v = np.full((BUCKETS, FACTORS), CALM)
+    machine = Machine(float(np.log(share / (1 - share))), np.zeros(len(kept)), np.zeros((len(kept), FACTORS)))
+    w, v = machine.w, machine.v
+    z, n, bias_n = np.zeros(len(kept)), np.zeros(len(kept)), 0.0
+    g_v = np.full((len(kept), FACTORS), CALM)
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
         if epoch == epochs // 2:  # from here on pairs of terms count as well, those of terms without a weight too
-            kept = np.flatnonzero(common)
-            v[kept] = rng.normal(0, 0.05, (len(kept), FACTORS))
-        order = rng.permutation(len(rows))
+            v[:] = rng.normal(0, 0.05, v.shape)
+        if epoch == 2:
+            whole.clear()
+        order = rng.permutation(len(parts))
         for start in range(0, len(order), batch):
             some = order[start : start + batch]
             sides = whole if epoch < 2 else parts
@@ -199,6 +205,8 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5, epochs: int = 12, batch: i
                 less = np.maximum(0.0, 1 - SHRINK * step.mean(axis=1, keepdims=True) / np.maximum(long, 1e-12))
                 v[slots] = np.where(w[slots, None] != 0, moved, moved * less)  # terms with a weight stay anyway
     v[(g_v == CALM).all(axis=1)] = 0.0  # in no window that was learnt from: still what chance gave
+    machine.w, machine.v = np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS))
+    machine.w[kept], machine.v[kept] = w, v
     return machine
 
 
@@ -221,10 +229,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([terms(x, own).tobytes() for x in b.column(0).to_pylist()], pa.binary()), b.column(1)], names=["doc_id", "slots", "label"])
 
-    rows = labelled(docs, labels, label_col, most, id_col, text_col).mapInArrow(hashed, "doc_id long, slots binary, label int").toArrow()
-    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    slots, label = rows.column("slots").to_pylist(), rows.column("label").to_pylist()
-    return fit([(slots[i], label[i]) for i in order])
+    def by_id() -> Iterator[tuple[pa.Buffer, int]]:  # holds what came to the driver, without a copy, until its end
+        rows = labelled(docs, labels, label_col, most, id_col, text_col).mapInArrow(hashed, "doc_id long, slots binary, label int").toArrow()
+        slots, label = rows.column("slots"), rows.column("label").to_pylist()
+        for i in np.argsort(rows.column("doc_id").to_numpy(), kind="stable").tolist():
+            yield slots[i].as_buffer(), label[i]
+
+    machine = fit(by_id())
+    give_back()  # what learning took is several times the machine
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
