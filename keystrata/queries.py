@@ -742,9 +742,9 @@ def foreign_roundtrip(spark, sf):
 
     url = f"derby:///{scratch(spark, 'derby').removeprefix('file:').lstrip('/')}"
     rows = t(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    foreign.write(rows.coalesce(2), url, "part_copy")
-    top = rows.agg(F.max("p_partkey")).first()[0]
-    return foreign.read(spark, url, "part_copy", split=("p_partkey", 0, top, 4)).where("p_size > 25")
+    foreign.write(rows, url, "part_copy", connections=2)
+    low, top = rows.agg(F.min("p_partkey"), F.max("p_partkey")).first()
+    return foreign.read(spark, url, "part_copy", split=None if top is None else ("p_partkey", low, top, 4)).where("p_size > 25")
 
 
 @query("SELECT k, price, day, moment, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES (1, '2.34', '2024-01-02', '2024-01-02 03:04:05.987', 3.0), (2, '-0.50', '1999-12-31', '1999-12-31 23:59:59.000', 0.25)) v(k, price, day, moment, ratio)")
